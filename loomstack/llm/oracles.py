@@ -23,4 +23,21 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1}
+#: Control strings: first character and the rest as a pattern.
+_CONTROLS = (("<", r"\|"), ("<", "s>"), ("<", "/s>"), ("\\[", r"INST\]"), ("\\[", r"/INST\]"), ("<", "<SYS>>"), ("<", "</SYS>>"))
+_ESCAPED = "said"
+for _first, _rest in _CONTROLS:
+    _ESCAPED = f"regexp_replace({_ESCAPED}, '({_first})(\\\\*{_rest})', '\\1\\\\\\2', 'g')"
+
+OP2 = rf"""
+WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn, role, said)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(said) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn, role, said) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(8 + length(role) + 9 + length({_ESCAPED}) + 8)::BIGINT AS formatted_chars
+FROM every GROUP BY conv_id
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_chat_format": OP2}
