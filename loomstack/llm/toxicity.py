@@ -28,7 +28,7 @@ from loomstack.llm.langid import drawn
 from loomstack.llm.ngrams import characters, hashed, row_sums
 
 PER_LABEL, TRAIN_CHARS = 2000, 8_000
-ORDERS, BITS, SELECTED = (3, 4, 5), 20, 1 << 14
+ORDERS, BITS, SELECTED = (3, 4, 5, 6), 20, 1 << 14
 THRESHOLD = 0.3
 #: Least number of sampling errors by which a feature's ratio differs from zero.
 CLEAR = 3.0
@@ -37,9 +37,9 @@ STRONG = 1.0
 
 
 def present(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every n-gram that a row holds, each once; only buckets where wanted, if given."""
-    points, rows, _ = characters(raw, at)
-    owner = None
+    """Row and bucket of every n-gram that a row holds, each once, all but letters taken as spaces; only buckets where wanted, if given."""
+    points, rows, letter = characters(raw, at)
+    points = np.where(letter, points, np.uint32(32))
     found = []
     for n in ORDERS:
         h, _ = hashed(points, rows, n, BITS)
@@ -59,7 +59,8 @@ class Model:
     bias: float
 
     @staticmethod
-    def fit(texts: list[str], labels: list[int], l2: float = 1e-3, rounds: int = 150) -> Model:
+    def fit(texts: list[str], labels: list[int], odds: float = 1.0, l2: float = 1e-5, rounds: int = 400) -> Model:
+        """odds: of label 1 among all labels; the sample's own share of it does not matter."""
         y = np.array(labels, float) * 2 - 1
         weights = np.zeros((1 << BITS) + 1, np.float32)
         if not len(y) or abs(y.sum()) == len(y):
@@ -99,7 +100,7 @@ class Model:
             ahead, shift = new + (last - 1) / t * (new - w), level + (last - 1) / t * (level - b)
             w, b = new, level
         weights[chosen] = w * ratio[chosen]
-        return Model(weights, float(b))
+        return Model(weights, float(b + np.log(odds)))
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         row, bucket = present(raw, at, self.weights != 0)
@@ -107,6 +108,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def label_odds(labels: DataFrame, label: str, learnable: Column) -> float:
+    """Labels 1 for each label 0 among those to learn from; 1 if either is missing."""
+    n = labels.filter(learnable).agg(F.count_if(F.col(label) == 1).alias("one"), F.count_if(F.col(label) == 0).alias("zero")).first()
+    return n["one"] / n["zero"] if n["one"] and n["zero"] else 1.0
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_label: int, id_col: str) -> DataFrame:
     """Documents of a bounded draw of labels, with the label: (docs' columns, _label)."""
     rows = labels.filter(learnable & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
@@ -118,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
     """A model from the labels of rows where learnable, an expression of id_col, holds."""
     rows = labelled(docs.select(id_col, text), labels, label, learnable, per_label, id_col).filter(F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS)
     got = sorted((r["_label"], r[text] or "") for r in rows.select("_label", text).toLocalIterator())
-    return Model.fit([t for _, t in got], [v for v, _ in got])
+    return Model.fit([t for _, t in got], [v for v, _ in got], label_odds(labels, label, learnable))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
