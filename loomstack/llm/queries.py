@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm import ann, chat, decontaminate, langid, packing, quality, sharding, simhash, toxicity
+from loomstack.llm import ann, chat, decontaminate, langid, packing, quality, sharding, simhash, token_counts, toxicity
 from loomstack.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score", "ambiguous")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.revise(table(spark, sf_dir, "documents"), token_counts.sample_revision(), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_chat_format,
         op3_simhash,
         op4_language_id,
+        op5_token_counts,
         op6_ann,
         op7_toxicity,
         op8_sharding,
