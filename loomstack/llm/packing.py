@@ -15,12 +15,15 @@ unique: the task's partition times 2**40 plus a count.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -32,49 +35,97 @@ POOL = 256
 #: The shortest sequence that a task's leftover is cut into.
 SHORTEST = 64
 #: Units that a worker's cache of token ids holds before it starts anew.
-CACHE = 300_000
+CACHE = 1_000_000
+#: Words encoded at once.
+GROUP = 500
 
-Tokenize = Callable[[list[bytes]], list[np.ndarray]]
+def _ragged(first: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at of a ragged array, joined, and their lengths."""
+    low, wide = first[at], first[at + 1] - first[at]
+    return ids[np.arange(int(wide.sum())) + np.repeat(low - (wide.cumsum() - wide), wide)], wide
 
 
 class UnitTokenizer:
     """Token ids of whole texts by ids of their white-space-delimited units.
 
-    For tokenizers that never join text across white space, as those that split on it and drop it.
+    For tokenizers that never join text across white space, as those that split on it and drop it. Units of Latin
+    letters, digits and signs are split into words here, if the file says by which pattern and that words are
+    lower-cased; their distinct words are then encoded many at once, and the ids that end a word tell them apart.
+    All other units, and groups where that count is not as it should be, are encoded one by one as they are.
     """
 
+    #: No white space, control or combining characters: normal form C as it stands, and lower-cased one to one.
+    PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+(?: [\x21-\x7e\xa1-\u012f\u0131-\u024f]+)*")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.words = self._word_model(json.loads(self.model.to_str()))
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.reset()
 
+    def _word_model(self, form: dict) -> object | None:
+        """The same model without normalising and splitting, if these are the steps that words() takes."""
+        from tokenizers import Tokenizer
+
+        kinds = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])]
+        split, *rest = (form["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        suffix = form["model"].get("end_of_word_suffix")
+        if kinds != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not split["invert"] or split["behavior"] != "Removed" or not suffix:
+            return None
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.ends = np.zeros(1 + max(form["model"]["vocab"].values()), bool)
+        self.ends[[i for w, i in form["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(form | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
+
     def reset(self) -> None:
         self.place: dict[bytes, int] = {}
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def _plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain units, joined, and their lengths."""
+        split = [[u] if u.isalpha() else self.pattern.findall(u) for u in units]
+        distinct = list(dict.fromkeys(w for own in split for w in own))
+        ids = [np.array(self.words.encode_batch_fast([" ".join(distinct[i : i + GROUP])], add_special_tokens=False)[0].ids, np.int32) for i in range(0, len(distinct), GROUP)]
+        if any(self.ends[own].sum() != len(distinct[i * GROUP : (i + 1) * GROUP]) for i, own in enumerate(ids)):
+            return None
+        ids = np.concatenate(ids)
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        at = np.fromiter((number[w] for own in split for w in own), np.int64)
+        flat, wide = _ragged(np.r_[0, np.flatnonzero(self.ends[ids]) + 1], ids, at)
+        parts = np.fromiter(map(len, split), np.int64, len(split))
+        return flat, np.add.reduceat(wide, parts.cumsum() - parts)
+
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(units, add_special_tokens=False)]
+        return np.fromiter((i for own in ids for i in own), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def _learn(self, units: list[bytes]) -> None:
-        new = [e.ids for e in self.model.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for ids in new for i in ids), np.int32, int(lengths.sum()))
-        self.first = np.r_[self.first, self.first[-1] + lengths.cumsum()]
-        self.ids = np.r_[self.ids, flat]
+        texts = [u.decode() for u in units]
+        if self.words and (not self.PLAIN.fullmatch(joined := " ".join(texts)) or any(s in joined for s in self.special)):
+            plain = [bool(self.PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+            order = [i for i, k in enumerate(plain) if k] + [i for i, k in enumerate(plain) if not k]
+            units, texts, some = [units[i] for i in order], [texts[i] for i in order], sum(plain)
+        else:
+            some = len(texts) if self.words else 0
+        done = (self._plain([t.lower() for t in texts[:some]]) or self._one_by_one(texts[:some])) if some else (self.ids[:0], self.first[:0])
+        rest = self._one_by_one(texts[some:])
+        self.ids = np.concatenate([self.ids, done[0], rest[0]])
+        self.first = np.r_[self.first, self.first[-1] + np.r_[done[1], rest[1]].cumsum()]
         self.place.update(zip(units, range(len(self.place), len(self.place) + len(units)), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.place) > CACHE:
             self.reset()
         units = [t.split() for t in texts]  # of bytes: ASCII white space only
-        if new := {u for own in units for u in own} - self.place.keys():
-            self._learn(sorted(new))
-        place = self.place.__getitem__
-        out = []
-        for own in units:
-            at = np.fromiter(map(place, own), np.int64, len(own))
-            low, wide = self.first[at], self.first[at + 1] - self.first[at]
-            out.append(self.ids[np.arange(int(wide.sum())) + np.repeat(low - (wide.cumsum() - wide), wide)])
-        return out
+        if new := set(chain.from_iterable(units)) - self.place.keys():
+            self._learn(list(new))
+        count = np.fromiter(map(len, units), np.int64, len(units))
+        flat, wide = _ragged(self.first, self.ids, np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, int(count.sum())))
+        cut = np.r_[0, wide.cumsum()][np.r_[0, count.cumsum()]]
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 _LOADED: dict[str, UnitTokenizer] = {}
