@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstack.llm.toxicity import labelled
+from loomstack.llm.toxicity import label_odds, labelled
 
 PER_LABEL = 3000
 TREES, DEPTH, BINS, PENALTY = 40, 3, 24, 2e-3
@@ -158,7 +158,8 @@ class Model:
     bias: float
 
     @staticmethod
-    def fit(x: np.ndarray, labels: np.ndarray, names: list[str]) -> Model:
+    def fit(x: np.ndarray, labels: np.ndarray, names: list[str], odds: float = 1.0) -> Model:
+        """odds: of label 1 among all labels; the sample's own share of it does not matter."""
         y = np.asarray(labels, float) * 2 - 1
         if not len(y) or abs(y.sum()) == len(y):
             return Model((), 20.0 if len(y) and y[0] > 0 else -20.0)
@@ -166,7 +167,7 @@ class Model:
         if not rules:
             return Model((), 0.0)
         weights, bias = lasso(np.stack([r.holds(x, names) for r in rules], axis=1), y)
-        return Model(tuple(Rule(r.tests, round(float(w), 6)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4), bias)
+        return Model(tuple(Rule(r.tests, round(float(w), 6)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4), float(bias + np.log(odds)))
 
     def column(self, values: dict[str, Column]) -> Column:
         """The score as one expression: a logistic of the sum of the weights of the rules that hold."""
@@ -177,9 +178,13 @@ class Model:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with struct _s of statistics() and struct _v of shares()."""
-    first = docs.withColumn("_s", F.struct(*[c.alias(k) for k, c in statistics(text).items()]))
-    return first.withColumn("_v", F.struct(*[c.alias(k) for k, c in shares().items()]))
+    """docs with struct _v of shares().
+
+    Each step is an exploded array of one struct: no filter or projection above it can be folded into it, so
+    every statistic is worked out once for each row.
+    """
+    first = docs.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in statistics(text).items()]))).alias("_s"))
+    return first.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in shares().items()]))).alias("_v")).drop("_s")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> Model:
@@ -187,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "qua
     names = list(shares())
     rows = with_statistics(labelled(docs.select(id_col, text), labels, label, learnable, per_label, id_col), text)
     got = np.array(sorted(tuple(r) for r in rows.select(*[F.col(f"_v.{k}") for k in names], F.col("_label").cast("double")).toLocalIterator())).reshape(-1, len(names) + 1)
-    return Model.fit(got[:, :-1], got[:, -1], names)
+    return Model.fit(got[:, :-1], got[:, -1], names, label_odds(labels, label, learnable))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
