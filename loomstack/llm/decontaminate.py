@@ -162,6 +162,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "document", text: s
     if how != "span":
         raise ValueError(f"how must be 'document' or 'span', not {how!r}")
 
+    columns = docs.columns
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             place = rows.schema.get_field_index(text)
@@ -174,6 +176,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "document", text: s
                         at = s["end"]
                     t = b"".join([*kept, raw[at:]]).decode()
                 out.append(t)
-            yield rows.set_column(place, rows.schema.field(place), pa.array(out, rows.schema.field(place).type)).select(docs.columns)
+            yield rows.set_column(place, rows.schema.field(place), pa.array(out, rows.schema.field(place).type)).select(columns)
 
     return marked.mapInArrow(cut, docs.schema)

@@ -54,9 +54,9 @@ class SlotMap:
                 load[shard] += slot_bytes[slot]
         even = sum(slot_bytes) / shards
         moving = [s for s, shard in enumerate(owner) if shard >= shards]
-        for shard in range(shards):
+        for shard in (s for s in range(shards) if load[s] > even * (1 + slack)):
             for slot in sorted((s for s, o in enumerate(owner) if o == shard), key=lambda s: (-slot_bytes[s], s)):
-                if load[shard] - slot_bytes[slot] >= even * (1 - slack) and slot_bytes[slot]:
+                if load[shard] - slot_bytes[slot] >= even and slot_bytes[slot]:
                     load[shard] -= slot_bytes[slot]
                     moving.append(slot)
         heap = [(b, s) for s, b in enumerate(load)]
