@@ -536,7 +536,7 @@ def missing_keys(spark, d):
     return T.load(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("key")).exceptAll(T.load(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").cast("int").alias("key")).distinct())
 
 
-@query("SELECT event_type, user_id % 3 AS third, count(*) AS n, rank() OVER (PARTITION BY user_id % 3 ORDER BY count(*) DESC, event_type)::INT AS place FROM events GROUP BY ALL")
+@query("SELECT event_type, user_id % 3 AS third, count(*) AS n, rank() OVER (PARTITION BY user_id % 3 ORDER BY count(*) DESC, event_type)::INT AS place FROM events GROUP BY event_type, user_id % 3")
 def ranked_counts(spark, d):
     counts = T.load(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("third")).agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("third").orderBy(F.desc("n"), "event_type")))
