@@ -76,15 +76,19 @@ def document_of(chunk_id: Column) -> Column:
 def contains_half(chunk: Column, quote: Column) -> Column:
     """Whether the chunk holds at least half of the quote in one stretch, white space aside.
 
-    A stretch of h or more characters is shared exactly if some window of h characters of the quote occurs.
+    A stretch of h or more characters is shared exactly if some window of h characters of the quote occurs. Such a
+    window holds one of the quote's consecutive blocks of half its length whole, so most pairs need those few alone.
     """
     both = F.array(F.struct(spaced(quote).alias("q"), spaced(chunk).alias("t")))  # as a lambda's variable, worked out once
 
     def found(s: Column) -> Column:
         n = F.length(s["q"])
         half = F.ceil(n / 2).cast("int")
+        part = F.greatest(F.floor((half + 1) / 2).cast("int"), F.lit(1))
+        blocks = F.sequence(F.lit(0), F.floor(n / part).cast("int") - 1)
+        near = F.exists(blocks, lambda k: F.contains(s["t"], F.substring(s["q"], k * part + 1, part)))
         windows = F.sequence(F.lit(1), n - half + 1)
-        return (n > 0) & (F.contains(s["t"], s["q"]) | F.exists(windows, lambda i: F.contains(s["t"], F.substring(s["q"], i, half))))
+        return (n > 0) & near & (F.contains(s["t"], s["q"]) | F.exists(windows, lambda i: F.contains(s["t"], F.substring(s["q"], i, half))))
 
     return F.coalesce(F.exists(both, found), F.lit(False))
 
