@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 K, SAMPLE, CHECKS, RECALL = 5, 16_384, 200, 0.98
 PIECES, CODEWORDS, BLOCK = 16, 64, 4096
-#: Queries whose tables are held at once, and rows that a list reranks for each query, at most.
-TOGETHER, RERANK = 256, (16, 32, 64, 128, 256)
+#: Queries whose tables are held at once, components that their reranking gathers, and how many rows a block may rerank.
+TOGETHER, GATHERED, RERANK = 256, 4_000_000, (16, 32, 64, 128, 256)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -203,8 +203,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
                 if keys[a][2] == 0:
                     block.append(batch.slice(a, b - a))
                 elif block:
-                    for i in range(a, b, TOGETHER):
-                        yield answer(block, batch.slice(i, min(TOGETHER, b - i)))
+                    wide = len(sent.value.centroids[0]) * max(k, sent.value.rerank)
+                    step = max(1, min(TOGETHER, GATHERED // wide))
+                    for i in range(a, b, step):
+                        yield answer(block, batch.slice(i, min(step, b - i)))
 
     both = held.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "kind")
     found = both.mapInArrow(meet, f"query_id {id_type}, id {id_type}, score double")
