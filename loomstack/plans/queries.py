@@ -217,7 +217,7 @@ def repaired_entities(spark, d):
     return rows.select("chunk", "name", "type", "description", F.array_join("aliases", "|").alias("aliases"), "retyped", "fault")
 
 
-@query(f"WITH line AS ({T.RECORD_LINES}) SELECT chunk, 'Part ' || l_partkey AS source, 'Supplier ' || l_suppkey AS target, CASE WHEN l_returnflag = 'R' THEN 'sent_back_to' ELSE 'made_by' END AS relation, 'the line' AS evidence, NULL AS fault FROM line")
+@query(f"WITH line AS ({T.RECORD_LINES}) SELECT chunk, 'Part ' || l_partkey AS source, 'Supplier ' || l_suppkey AS target, CASE WHEN l_returnflag = 'R' THEN 'sent_back_to' ELSE 'made_by' END AS relation, 'the line' AS evidence, NULL::VARCHAR AS fault FROM line")
 def repaired_relations(spark, d):
     records = T.records(spark, d)
     return resolution.repaired_relations(records, resolution.repaired_entities(records)).drop("pos")
@@ -377,7 +377,7 @@ def chunk_pages(spark, d):
     return chunking.chunk(pages, spark.createDataFrame([("conv1", 2)], "document string, page int"))
 
 
-@query("SELECT coalesce(lang, 'ALL') AS document, count(*) AS n, min(length(text)) AS least, round_even(quantile_cont(length(text), 0.5), 0)::INT AS median, max(length(text)) AS most FROM documents GROUP BY ROLLUP (lang)")
+@query("SELECT coalesce(lang, 'ALL') AS document, count(*) AS n, min(length(text))::INT AS least, round_even(quantile_cont(length(text), 0.5), 0)::INT AS median, max(length(text))::INT AS most FROM documents GROUP BY ROLLUP (lang)")
 def size_report(spark, d):
     return chunking.size_report(T.load(spark, d, "documents").select(F.col("lang").alias("document"), "text"))
 
