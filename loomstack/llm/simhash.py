@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomstack.llm.common import materialize, steps
 
@@ -223,10 +224,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One document of each component: that with the smallest id, and one row of those that share this id."""
     prints = materialize(fingerprints(docs, id_col, text, width), "prints")
-    kept = components(prints, id_col, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).count()
-    kept = materialize(kept, "kept")
+    own = F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.col("fp"))
+    named = components(prints, id_col, radius).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.max(own).alias("_own"))
+    named = materialize(named.filter("_own IS NOT NULL"), "kept")
     matches = F.col(id_col).eqNullSafe(F.col("_id"))
-    alone = docs.join(kept.filter("count = 1"), matches, "left_semi")
-    if kept.filter("count > 1").isEmpty():
+    # the ids grow with the documents, so they are never broadcast: one plan, and one cost for each row, at every size
+    alone = docs.join(named.filter("_n = 1").hint("merge"), matches, "left_semi")
+    several = named.filter("_n > 1")
+    if several.isEmpty():
         return alone
-    return alone.unionByName(docs.join(kept.filter("count > 1"), matches, "left_semi").dropDuplicates([id_col]))
+    columns = docs.columns
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in steps(batches, text):
+            data = raw.tobytes()
+            fps = np.array([fingerprint(data[a:b], width) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps.view(np.int64))], [*columns, "_fp"])
+
+    again = docs.join(several.hint("merge"), matches, "left_semi")
+    again = again.mapInArrow(marked, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    rest = again.join(several.hint("merge"), matches & (F.col("_fp") == F.col("_own")), "left_semi")
+    return alone.unionByName(rest.dropDuplicates([id_col]).select(columns))
