@@ -49,8 +49,9 @@ class Counter:
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
-            for p in set(pieces) - known.keys():
-                known[p] = len(self.encode(p))
+            for p in pieces:
+                if p not in known:
+                    known[p] = len(self.encode(p))
             return [known[p] for p in pieces]
 
 
