@@ -120,8 +120,8 @@ class UnitTokenizer:
         if len(self.place) > CACHE:
             self.reset()
         units = [t.split() for t in texts]  # of bytes: ASCII white space only
-        if new := set(chain.from_iterable(units)) - self.place.keys():
-            self._learn(list(new))
+        if new := [u for u in set(chain.from_iterable(units)) if u not in self.place]:
+            self._learn(new)
         count = np.fromiter(map(len, units), np.int64, len(units))
         flat, wide = _ragged(self.first, self.ids, np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, int(count.sum())))
         cut = np.r_[0, wide.cumsum()][np.r_[0, count.cumsum()]]
