@@ -41,13 +41,14 @@ class Escape:
 
     def __init__(self, controls: tuple[str, ...]):
         forms = "|".join(f"(?<={re.escape(c[0])})(?=(\\\\*){re.escape(c[1:])})" for c in controls)
+        self.firsts = {c[0] for c in controls}
         self._add, self._drop = re.compile(forms), re.compile("|".join(f"(?<={re.escape(c[0])})\\\\(?=(\\\\*){re.escape(c[1:])})" for c in controls))
 
     def __call__(self, text: str) -> str:
-        return self._add.sub(r"\\", text)
+        return self._add.sub(r"\\", text) if any(c in text for c in self.firsts) else text
 
     def undo(self, text: str) -> str:
-        return self._drop.sub("", text)
+        return self._drop.sub("", text) if any(c in text for c in self.firsts) else text
 
 
 @dataclass(frozen=True)
@@ -91,10 +92,11 @@ def render_turns(render: Render, turns: Turns) -> Rendered:
     long conversations cost in proportion to their turns; whole prefixes, at every power of two and at the end,
     must equal what was put together, else the template counts as one that rewrites history.
     """
-    spans, contents, parts, done = [], [], [], 0
+    spans, contents, parts, done, after = [], [], [], 0, render([])
     for i, (role, _) in enumerate(turns):
         near = turns[max(0, i - NEAR) : i]
-        before, after, a, b = render(near), render([*near, turns[i]]), *(render([*near, (role, s)]) for s in _STAND_INS)
+        before = after if len(near) == i else render(near)
+        after, a, b = render([*near, turns[i]]), *(render([*near, (role, s)]) for s in _STAND_INS)
         if not all(x.startswith(before) for x in (after, a, b)):
             return _rewritten(render, turns)
         low, tail = _around(a, b)
@@ -122,7 +124,13 @@ def _rewritten(render: Render, turns: Turns) -> Rendered:
 
 def _around(a: str, b: str) -> tuple[int, int]:
     """Characters before and after the place where two outputs of equal length differ."""
-    low = next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y) if a != b else len(a)
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # by halves: slices compare faster than characters
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
     return low, len(a) - low - 1
 
 
