@@ -204,11 +204,16 @@ def stars(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """prints (id_col, fp) with component_id, the smallest id that links reach."""
+def _rooted(prints: DataFrame, id_col: str, radius: int, full: int) -> DataFrame:
+    """Every distinct fp with the least id of its rows and its component's root, the component's smallest fp."""
     own = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     linked = stars(forest_edges(shards(own.select("fp"), own.count(), radius, full), radius))
-    rooted = own.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    return own.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+
+
+def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, full: int = FULL) -> DataFrame:
+    """prints (id_col, fp) with component_id, the smallest id that links reach."""
+    rooted = _rooted(prints, id_col, radius, full)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(members, "fp").select(id_col, "fp", "component_id")
@@ -222,15 +227,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: that with the smallest id, and one row of those that share this id."""
+    """One document of each component: that with the smallest id, and one row of those that share this id.
+
+    A component without any id keeps a row too, and so does each of several components whose smallest id is the same.
+    """
     prints = materialize(fingerprints(docs, id_col, text, width), "prints")
-    own = F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.col("fp"))
-    named = components(prints, id_col, radius).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.max(own).alias("_own"))
-    named = materialize(named.filter("_own IS NOT NULL"), "kept")
-    matches = F.col(id_col).eqNullSafe(F.col("_id"))
+    least = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("_id"), F.col("fp").alias("_own"))).alias("s")
+    chosen = _rooted(prints, id_col, radius, FULL).groupBy("root").agg(least).select("s._id", "s._own")
+    times = prints.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
     # the ids grow with the documents, so they are never broadcast: one plan, and one cost for each row, at every size
-    alone = docs.join(named.filter("_n = 1").hint("merge"), matches, "left_semi")
-    several = named.filter("_n > 1")
+    chosen = materialize(chosen.join(times.hint("merge"), "_id", "left"), "kept")
+    named = F.col(id_col) == F.col("_id")
+    alone = docs.join(chosen.filter("_n = 1").hint("merge"), named, "left_semi")
+    several = chosen.filter("_n IS NULL OR _n > 1")
     if several.isEmpty():
         return alone
     columns = docs.columns
@@ -241,7 +250,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
             fps = np.array([fingerprint(data[a:b], width) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps.view(np.int64))], [*columns, "_fp"])
 
-    again = docs.join(several.hint("merge"), matches, "left_semi")
-    again = again.mapInArrow(marked, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    rest = again.join(several.hint("merge"), matches & (F.col("_fp") == F.col("_own")), "left_semi")
-    return alone.unionByName(rest.dropDuplicates([id_col]).select(columns))
+    # an id is no key here: rows without one, or of one id, may belong to many components
+    again = docs.join(several.hint("merge"), named, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    again = again.mapInArrow(marked, StructType([*docs.schema.fields, StructField("_fp", LongType())])).dropDuplicates([id_col, "_fp"])
+    rest = again.join(several.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_own")), "left_semi")
+    return alone.unionByName(rest.select(columns))

@@ -160,6 +160,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_component_keeps_a_row(spark):
+    rng = random.Random(12)
+    texts = [words(rng, 60, 9000) for _ in range(8)]
+    ids = [None, None, None, 7, 7, 9, 3, 3]  # three components without an id, two that share one, one alone, two that share another
+    docs = list(zip(ids, texts, strict=True))
+    docs += [(None, texts[0]), (None, texts[0].upper()), (7, texts[4]), (8, texts[4]), (None, texts[5]), (9, texts[5]), (12, texts[6])]
+    fps = [brute_fingerprint(t) for _, t in docs]
+    assert len(set(brute_components(fps))) == 8
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), brute_fingerprint(r["text"])) for r in kept) == sorted((str(i), brute_fingerprint(t)) for i, t in zip(ids, texts, strict=True))
+    unnamed = spark.createDataFrame([(None, t) for _, t in docs], "doc_id long, text string")
+    assert sorted(brute_fingerprint(r["text"]) for r in simhash.keep_one(unnamed).collect()) == sorted(set(fps))
+
+
 @pytest.mark.parametrize(("n", "full"), [(400, 4), (400, 10_000)])
 def test_every_link_is_in_some_shard(spark, n, full):
     rng = random.Random(n + full)
