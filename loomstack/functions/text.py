@@ -94,17 +94,12 @@ def contains_half(chunk: Column, quote: Column) -> Column:
 
 
 def _longest(wanted: str, text: str) -> int:
-    """Length of the longest common stretch, by halving: a stretch of n implies one of n - 1."""
-    low, high = 0, min(len(wanted), len(text))
-    while low < high:
-        n = (low + high + 1) // 2
-        have = {text[i : i + n] for i in range(len(text) - n + 1)} if len(text) < 1 << 16 else None
-        inside = have.__contains__ if have is not None else text.__contains__
-        if any(inside(wanted[i : i + n]) for i in range(len(wanted) - n + 1)):
-            low = n
-        else:
-            high = n - 1
-    return low
+    """Length of the longest common stretch: at every start, only stretches longer than the longest so far are looked up."""
+    n = 0
+    for i in range(len(wanted)):
+        while i + n < len(wanted) and wanted[i : i + n + 1] in text:
+            n += 1
+    return n
 
 
 @F.pandas_udf(IntegerType())

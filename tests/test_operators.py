@@ -182,3 +182,20 @@ def test_stream_ingest_repeats_nothing(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(line)
         ingest_chunks(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", str(tmp_path / "cp")).awaitTermination(120)
     assert rows(spark.read.parquet(f"{tmp_path}/out").select("id", "text")) == [("a", "2"), ("b", "3")]
+
+
+def test_longest_runs_meet_every_document(spark, tmp_path):
+    from loomstack.plans.queries import QUERIES
+
+    quotes = {0: "the red fox ran", 7: "over  the\nhill", 45: "far away", 80: "", 81: None}
+    texts = {3: "a red fox ran over the hill", 5: "far from home", 47: "nothing", 85: None}
+    spark.createDataFrame(list(quotes.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def run(q, t):
+        q, t = (" ".join((x or "").split()) for x in (q, t))
+        return max((b - a for a in range(len(q)) for b in range(a + 1, len(q) + 1) if q[a:b] in t), default=0), len(q)
+
+    want = sorted((i, d, (n := run(q, t))[0], round(n[0] / n[1], 9) if n[1] else 0.0) for i, q in quotes.items() for d, t in texts.items())
+    got = QUERIES["longest_runs"](spark, str(tmp_path)).collect()
+    assert sorted((r["qid"], r["doc_id"], r["run"], round(r["held"], 9)) for r in got) == want
