@@ -6,7 +6,7 @@ its own residual and every codeword, and reranks the best of every list by the c
 
 The index is fitted on a bounded sample (SAMPLE rows at most, by a hash of the id) and holds every row. How many
 lists a query visits and how many rows are reranked is also fitted there: the least that find RECALL of the true
-neighbours of CHECKS sample rows. A list is cut into blocks of BLOCK rows, so a vector that is a third of all rows
+neighbours of CHECKS sample rows, up to whole blocks. A list is cut into blocks of BLOCK rows, so a vector that is a third of all rows
 fills many blocks, not one task; queries meet blocks, never each other, and only a block's best rows leave it.
 
 Defined results: vectors that are null, zero, of another than the most frequent dimension, or hold null or
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 K, SAMPLE, CHECKS, RECALL = 5, 16_384, 200, 0.98
 PIECES, CODEWORDS, BLOCK = 16, 64, 4096
-#: Queries whose tables are held at once, components that their reranking gathers, and how many rows a block may rerank.
+#: Queries whose tables are held at once, components that their reranking gathers, and how many rows a block reranks at least; it reranks as many as are needed.
 TOGETHER, GATHERED, RERANK = 256, 4_000_000, (16, 32, 64, 128, 256)
 
 
@@ -116,13 +116,16 @@ class Index:
             for t in np.argsort(-near, kind="stable")[: min(K, len(sample) - 1)]:
                 mates = np.flatnonzero(own == own[t])
                 far = self.distances(self.tables(sample[q : q + 1], own[t]), codes[mates])[0]
-                found.append((place[own[t]], (far < far[mates == t][0]).sum()))
+                at = far[mates == t][0]
+                # rows of an equal code may all come first; equal vectors come in the order of their ids
+                tied = (far == at) & ((mates < t) | (sample[mates] != sample[t]).any(axis=1))
+                found.append((place[own[t]], ((far < at) | tied)[mates != q].sum()))
         if not found:
             return
         list_at, rank = np.array(found).T
         self.probes = int(np.quantile(list_at, (1 + RECALL) / 2, method="higher")) + 1
-        need = np.quantile(rank, (1 + RECALL) / 2, method="higher") * grown + 1
-        self.rerank = next((r for r in RERANK if r >= need), RERANK[-1])
+        need = int(np.ceil(np.quantile(rank, (1 + RECALL) / 2, method="higher") * grown + 1))
+        self.rerank = next((r for r in RERANK if r >= need), need)
 
 
 def valid(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -203,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
                 if keys[a][2] == 0:
                     block.append(batch.slice(a, b - a))
                 elif block:
-                    wide = len(sent.value.centroids[0]) * max(k, sent.value.rerank)
+                    wide = len(sent.value.centroids[0]) * min(sum(x.num_rows for x in block), max(k, sent.value.rerank))
                     step = max(1, min(TOGETHER, GATHERED // wide))
                     for i in range(a, b, step):
                         yield answer(block, batch.slice(i, min(step, b - i)))

@@ -338,6 +338,30 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id = 5001"), F.lit(True)).count() == 0
 
 
+def test_neighbours_behind_many_rows_of_one_code(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 24))
+    x = np.r_[centres.repeat(700, axis=0) + 1e-4 * rng.normal(size=(2800, 24)), rng.normal(size=(200, 24))]
+    unit = ann.unit(x)
+    middles = ann.kmeans(unit, 2, 8, rng)
+    rest = unit - middles[ann.nearest(unit, middles)]
+    edges = np.linspace(0, 24, ann.PIECES + 1).astype(int).tolist()
+    index = ann.Index(middles, [ann.kmeans(rest[:, a:b], 8, 8, rng) for a, b in zip(edges, edges[1:], strict=False)], edges)
+    index.tune(unit, rng)
+    assert index.rerank > 600
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hit = {}, 0
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, index=index).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 3000, 50):
+        near = ann.cosine(x[q][None], x)
+        near[q] = -9
+        hit += len(got[q] & set(np.lexsort((np.arange(len(x)), -near))[:5].tolist()))
+    assert hit >= ann.RECALL * 5 * len(got)
+    index.tune(unit, rng, 50.0)
+    assert index.rerank > 600 * 50
+
+
 # sharding
 
 
