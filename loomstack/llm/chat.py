@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ Turns = list[tuple[str, str]]
 Render = Callable[[Turns], str]
 LOSS_ROLES = ("assistant",)
 _STAND_INS = "", ""
-#: Turns up to which every prefix is rendered whole; beyond, a turn is rendered after this many before it.
+#: Turns before a turn that a local template renders with it.
 NEAR = 8
 
 
@@ -59,6 +60,8 @@ class Template:
     middle: str
     closing: str
     controls: tuple[str, ...]
+    #: Each turn is written alone, whatever stands before it.
+    local: ClassVar[bool] = True
 
     def __call__(self, turns: Turns) -> str:
         escape = escape_of(self.controls)
@@ -88,13 +91,15 @@ class Rendered:
 def render_turns(render: Render, turns: Turns) -> Rendered:
     """Spans by comparing successive outputs.
 
-    Prefixes of up to NEAR turns are rendered whole. A later turn is rendered after the NEAR turns before it, so
-    long conversations cost in proportion to their turns; whole prefixes, at every power of two and at the end,
-    must equal what was put together, else the template counts as one that rewrites history.
+    Every prefix is rendered whole, which costs the square of the turns, unless the template says that it is local:
+    such a one renders a turn after the NEAR turns before it, so long conversations cost in proportion to their
+    turns; whole prefixes, at every power of two and at the end, must equal what was put together, else the template
+    counts as one that rewrites history.
     """
+    reach = NEAR if getattr(render, "local", False) else len(turns)
     spans, contents, parts, done, after = [], [], [], 0, render([])
     for i, (role, _) in enumerate(turns):
-        near = turns[max(0, i - NEAR) : i]
+        near = turns[max(0, i - reach) : i]
         before = after if len(near) == i else render(near)
         after, a, b = render([*near, turns[i]]), *(render([*near, (role, s)]) for s in _STAND_INS)
         if not all(x.startswith(before) for x in (after, a, b)):

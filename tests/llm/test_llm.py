@@ -120,6 +120,28 @@ def test_templates_that_rewrite_history_are_found():
     assert lost.rewrites and [lost.text[a:b] for a, b in lost.contents][2:] == ["so", "two"]
 
 
+def test_long_conversations_are_rendered_prefix_by_prefix():
+    turns = [(("user", "assistant")[i % 2], f"turn {i}") for i in range(16)]
+
+    def late(t):  # rewrites the first turn at 11 turns, and undoes it
+        return "".join(f"{r}:{'gone' if len(t) == 11 and i == 0 else x};" for i, (r, x) in enumerate(t))
+
+    assert chat.render_turns(late, turns).rewrites and not chat.render_turns(late, turns[:10]).rewrites
+    numbered = lambda t: "".join(f"{i}. {r}:{x};" for i, (r, x) in enumerate(t))
+    got = chat.render_turns(numbered, turns)
+    assert not got.rewrites and [got.text[a:b] for a, b in got.contents] == [x for _, x in turns]
+    assert [got.text[a:b] for a, b in got.spans] == [f"{i}. {r}:{x};" for i, (r, x) in enumerate(turns)]
+
+    def strict(t):
+        if t and t[0][0] != "user":
+            raise ValueError("a user speaks first")
+        return "".join(f"{r}:{x};" for r, x in t)
+
+    assert not chat.render_turns(strict, turns).rewrites
+    opaque = chat.render_turns(lambda t: chat.MARKED(t), turns)
+    assert opaque == chat.render_turns(chat.MARKED, turns)
+
+
 # simhash
 
 
