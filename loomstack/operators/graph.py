@@ -5,29 +5,14 @@ edges(source, target, ...), node_chunks(node_id, chunk_id), seeds(qid, chunk_id)
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOPS, WALK_LIMIT = 2, 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see; one of this machine's only where none is set, as in tests."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='loomstack-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
+from loomstack.shared import written
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: a cut of the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+HOPS, WALK_LIMIT = 2, 20
+#: A key that more than one in HOT rows have is met by a broadcast, so at most HOT keys are; all others by a shuffle.
+HOT = 1 << 14
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -40,13 +25,15 @@ def reach(edges: DataFrame, node_chunks: DataFrame, seeds: DataFrame, hops: int
     """qid, node_id, hop: nodes within hops of the seeds' nodes and the fewest hops to them.
 
     Each hop joins only the nodes new in the last one and drops what was reached before, so a hub multiplies
-    no paths.
+    no paths. Frontiers and neighbours are written once, so no hop works out the hops before it anew.
     """
-    frontier = seeds.join(node_chunks, "chunk_id").select("qid", "node_id").distinct().withColumn("hop", F.lit(0))
-    reached, both = frontier, undirected(edges) if hops else None
+    frontier = written(seeds.join(node_chunks, "chunk_id").select("qid", "node_id").distinct().withColumn("hop", F.lit(0)), "frontier")
+    reached = frontier
+    if hops:
+        both = written(undirected(edges), "neighbours")
     for hop in range(1, hops + 1):
         step = frontier.select("qid", F.col("node_id").alias("a")).join(both, "a").select("qid", F.col("b").alias("node_id")).distinct()
-        frontier = step.join(reached.select("qid", "node_id"), ["qid", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = written(step.join(reached.select("qid", "node_id"), ["qid", "node_id"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)
     return reached
 
@@ -84,26 +71,43 @@ def cross_document(node_chunks: DataFrame, document: Column) -> DataFrame:
     return node_chunks.groupBy("node_id").agg(F.countDistinct(document).alias("documents")).filter("documents > 1")
 
 
-def components(vertices: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """key, root: the least key that undirected pairs (a, b) connect to each key of vertices and pairs.
+def met(rows: DataFrame, values: DataFrame, key: str, value: str, n: str, total: int) -> DataFrame:
+    """rows with the value of their key from values (key, value, n: rows of that key), an inner join.
+
+    Hot keys are met by a broadcast of at most HOT rows, so no task gets all rows of one; the rest by a shuffle.
+    """
+    hot = F.broadcast(values.filter(F.col(n) * HOT > total).select(key, F.col(value).alias("_hot"), F.lit(True).alias("_is_hot")))
+    tried = rows.join(hot, key, "left")
+    near = tried.filter("_is_hot").select(*rows.columns, F.col("_hot").alias(value))
+    rest = tried.filter("_is_hot IS NULL").select(*rows.columns).join(values.select(key, value), key)
+    return near.unionByName(rest.select(near.columns))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Connected components of edges u > v: each node u with the least node v of its component, v itself left out.
 
-    Rounds of hooking and pointer jumping: a label falls to the least label next to it, then to that label's own
-    label, so the rounds follow the logarithm of a path's length. Raises if rounds do not suffice.
+    Rounds of a large star (every greater neighbour of u hangs on the least node around u) and a small star (the
+    lesser ones do), until nothing changes. Neighbours meet only in a minimum and in met(), so a hub needs neither a
+    list of its neighbours nor a task of its own.
     """
-    links = pairs.filter("a <> b").select("a", "b")
-    links = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    keys = vertices.select("key").union(links.select(F.col("a").alias("key"))).distinct()
-    labels = written(keys.select("key", F.col("key").alias("root")), "labels")
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("key").alias("b"), "root"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "key", "left").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # hook the old root as well, so whole trees move
-        moved = hooked.groupBy(F.col("old").alias("key")).agg(F.min("root").alias("low"))
-        now = hooked.join(moved, "key", "left").select("key", "old", F.least("root", "low").alias("root"))
-        now = written(now, "labels")
-        jump = now.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        after = written(now.join(jump, "root").select("key", F.least("root", "up").alias("root"), "old"), "labels")
-        if after.filter("root <> old").isEmpty():
-            return after.select("key", "root")
-        labels = after.select("key", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    edges, seen = written(edges.distinct(), "stars"), None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return edges
+        seen, total = now, 2 * now["n"]
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+        large = written(met(both.filter("v > u"), least, "u", "m", "k", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        down = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        small = met(large, least, "u", "m", "k", total).select(down.alias("e")).select("e.u", "e.v")
+        edges = written(small.filter("u > v").distinct(), "stars")
+
+
+def components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, root: the least key that undirected pairs (a, b) connect to each key of vertices and pairs."""
+    links = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    tied = stars(links)
+    roots = tied.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(tied.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    return roots.unionByName(vertices.select("key").union(pairs.filter("a = b").select("a")).distinct().join(roots.select("key"), "key", "left_anti").select("key", F.col("key").alias("root")))

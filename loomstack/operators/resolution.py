@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomstack.functions.text import document_of, mergeable, name_key, slug, snake
-from loomstack.operators.graph import components, written
+from loomstack.operators.graph import components
+from loomstack.shared import written
 
 # The kinds of entity, from the most concrete to the least; a tie goes to the earlier one.
 ENTITY_TYPES = ("organisation", "person", "board", "mission", "spacecraft", "subsystem", "software", "facility", "document", "event", "cause", "recommendation", "other")

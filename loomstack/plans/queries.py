@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstack.functions import text as X
 from loomstack.operators import chunking, evaluation, extraction, graph, resolution, retrieval, vector
 from loomstack.plans import tables as T
+from loomstack.shared import shared_dir
 from loomstack.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,7 +340,7 @@ def file_digests(spark, d):
 
 @query()
 def json_round_trip(spark, d):
-    path = f"{graph.shared_dir(spark)}/chunks-json"
+    path = f"{shared_dir(spark)}/chunks-json"
     chunks = chunking.chunk(T.conversation_pages(spark, d).withColumn("seq", F.col("page")).select("document", "seq", "page", "text"))
     sinks.sorted_lines(chunks, path, "id")
     return readers.json_lines(spark, path, readers.CHUNK)
