@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstack.shared import written as materialize  # noqa: F401 - the operators' name for it
+
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -20,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see; one of this machine's only where none is set, as in tests."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='loomstack-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back: lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fits(df: DataFrame, size: object, limit: int) -> tuple[int, bool]:
-    """The sum of a size column, and whether it is within limit: the check before a broadcast."""
-    from pyspark.sql import functions as F
-
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n")).first()["n"]
-    return total, total <= limit
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and the offset of each row in them; a null row is empty."""
     if pa.types.is_string(column.type):
