@@ -1,12 +1,15 @@
 """Sharding by fixed virtual slots: records hash into slots, slots hold bytes, a versioned map names their shards.
 
-A record's slot depends on its text, so equal texts share a shard; a group of copies larger than a HEAVY-th of a
-shard's even share is spread over slots by its ids instead, so no group unbalances a shard. The first map deals
+A record's slot depends on its text, so equal texts share a shard; a group of copies that holds more than a HEAVY-th
+of a shard's even share, of bytes or of rows, is spread over slots by its ids instead, and rows of such a group that
+even share an id by their place, so no group unbalances a shard or fills a slot. The first map deals
 slots to shards by bytes, the largest first to the lightest shard. A later map is an edit of the one before:
 slots move only from shards above their even share to shards below it, and the version grows by one.
 
 Everything runs on DataFrame functions. Texts are read once, for their size and hashes; only these few numbers
-are shuffled. What reaches the driver or is broadcast has fixed bounds: slots rows, and shards * HEAVY groups.
+are shuffled. Rows are numbered within their slot and the part of the table that they were read with, on top of the
+rows of that slot in earlier parts, so no task has to sort a whole slot. What reaches the driver or is broadcast has
+fixed bounds: slots rows, and four times shards * HEAVY groups.
 
 Defined results: a null text has 0 bytes and belongs with other null texts; repeated rows are placed each; a
 null id is hashed like any value; an empty table gives no rows and an empty map still names every slot; only the
@@ -80,16 +83,22 @@ class SlotMap:
 
 
 def slotted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """id_col, size, text_crc32, virtual_slot of every row, from one scan of the texts."""
+    """id_col, size, text_crc32, virtual_slot of every row, from one scan of the texts, and _part: by which it was read."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     content = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(id_col, size.alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.col(text).isNull()).alias("_text"))
+    own = docs.select(id_col, size.alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.col(text).isNull()).alias("_text"), F.xxhash64(id_col).alias("_id"), F.monotonically_increasing_id().alias("_place"))
     own = materialize(own, "sizes")
-    total = own.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    # at most shards * HEAVY groups are this large
-    heavy = own.groupBy("_text").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") * (shards * HEAVY) > total).select("_text", F.lit(True).alias("_heavy"))
-    key = F.when(F.col("_heavy"), F.xxhash64("_text", id_col)).otherwise(F.col("_text"))
-    return own.join(F.broadcast(heavy), "_text", "left").select(id_col, "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+
+    def heavy(rows: DataFrame, *keys: str) -> DataFrame:
+        # at most shards * HEAVY groups are this large in bytes, and as many in rows
+        large = (F.col("_size") * (shards * HEAVY) > total["size"]) | (F.col("_n") * (shards * HEAVY) > total["n"])
+        return F.broadcast(rows.groupBy(*keys).agg(F.sum("size").alias("_size"), F.count("*").alias("_n")).filter(large).select(*keys, F.lit(True).alias(f"_heavy{len(keys)}")))
+
+    texts = heavy(own, "_text")
+    known = own.join(texts, "_text", "left").join(heavy(own.join(texts, "_text"), "_text", "_id"), ["_text", "_id"], "left")
+    key = F.when(F.col("_heavy2"), F.xxhash64("_text", "_id", "_place")).when(F.col("_heavy1"), F.xxhash64("_text", "_id")).otherwise(F.col("_text"))
+    return known.select(id_col, "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"), F.spark_partition_id().alias("_part"))
 
 
 def slot_sizes(placed: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -116,14 +125,17 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards:
         base.append((slot, shard, before[shard]))
         before[shard] += rows[slot]
     owners = spark.createDataFrame(base, "virtual_slot int, shard int, _base long")
-    nth: Column = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size"))
-    return placed.withColumn("_nth", nth).join(F.broadcast(owners), "virtual_slot").select(
+    # the rows of a slot in earlier parts, then the place among those of its own part
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("virtual_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("virtual_slot", "_part").agg(F.count("*").alias("_n")).select("virtual_slot", "_part", earlier.alias("_earlier"))
+    nth: Column = F.row_number().over(Window.partitionBy("virtual_slot", "_part").orderBy(id_col, "text_crc32", "size"))
+    return placed.withColumn("_nth", nth).join(parts, ["virtual_slot", "_part"]).join(F.broadcast(owners), "virtual_slot").select(
         id_col,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("_base") + F.col("_nth") - 1).alias("slot"),
+        (F.col("_base") + F.col("_earlier") + F.col("_nth") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.lit(chosen.version).alias("map_version"),

@@ -521,3 +521,46 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {b[0] for b in want if not b[5]}
     assert kept[0] - 2 == kept[1] and kept == sorted(kept, reverse=True) and kept[4] == kept[5]
     assert json.dumps(kept)
+
+
+# large inputs and hot groups
+
+
+def test_a_benchmark_block_is_small_and_several_equal_one():
+    import tracemalloc
+
+    rng = random.Random(21)
+    stock = [f"w{rng.randrange(10**6)}x" for _ in range(100_000)]
+    items = [(str(i), " ".join(rng.choices(stock, k=60))) for i in range(35_000)]
+    assert sum(len(t) for _, t in items) > 15 << 20
+    tracemalloc.start()
+    tests = decontaminate.TestSet(items, 13)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30 and tests.nbytes() < 150 << 20
+    tracemalloc.stop()
+    text = " ".join(rng.choices(stock, k=200)) + " " + items[77][1].upper()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert [(r["items"], r["spans"][0]["words"], r["spans"][0]["first"]) for r in tests.scan(raw, np.array([0, len(raw)]))] == [(["77"], 60, 200)]
+
+
+def test_long_texts_are_scanned_in_pieces():
+    rng = random.Random(22)
+    items = [("a", words(rng, 40, 9000)), ("b", "z" * (3 << 20)), ("c", words(rng, 13, 9000)), ("d", words(rng, 2, 9000)), ("e", "big " + "y" * (2 << 20) + " end")]
+    tests = decontaminate.TestSet(items, 13)
+    for text in (items[0][1], words(rng, 900_000, 9000) + " " + items[0][1] + " " + words(rng, 300_000, 9000) + "," + "Z" * (3 << 20) + " " + items[2][1] + " é " + items[3][1], "y" * (2 << 20) + " " + items[4][1]):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = tests.scan(raw, np.array([0, len(raw)]))[0]
+        want = brute_hits([(0, text)], items)[0]
+        assert (got["n_words"], sum(s["words"] for s in got["spans"]), hashlib.sha256(",".join(got["items"]).encode()).hexdigest()) == (want[1], want[2], want[4])
+        for s in got["spans"]:
+            assert len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()[s["start"] : s["end"]])) == s["words"]
+
+
+def test_no_slot_holds_a_hot_group(spark):
+    rng = random.Random(10)
+    docs = [(i, words(rng, 20, 5000)) for i in range(9000)] + [(i, None) for i in range(9000, 15_000)] + [(-1, "the same row")] * 3000
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).toPandas()
+    assert len(got) == len(docs)
+    assert got.groupby("virtual_slot").size().max() <= len(docs) / 48
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 24 and load.max() < 1.02 * load.mean()
