@@ -3,7 +3,9 @@
 A template is any function from turns to text. The successive prefixes of a conversation are rendered and
 consecutive outputs compared: what a turn adds is its span. A template whose longer output does not begin with
 the shorter one rewrites history; its conversations are flagged, and their spans are found in the last output.
-A turn's text is located inside its span by rendering two different stand-ins for it and comparing.
+A turn's text is located inside its span by rendering two different stand-ins for it and comparing. A text that the
+template leaves out has an empty place at the end of its turn's span (in a rewritten output: at the end); a template
+that writes one text in several places raises, as no single span could be its loss.
 
 Defined results: a null text or role is empty; a null conversation id is one conversation; turns are ordered by
 (turn, role, text), nulls first, and repeated rows are repeated turns; an empty table gives no rows; only the
@@ -104,11 +106,11 @@ def render_turns(render: Render, turns: Turns) -> Rendered:
         after, a, b = render([*near, turns[i]]), *(render([*near, (role, s)]) for s in _STAND_INS)
         if not all(x.startswith(before) for x in (after, a, b)):
             return _rewritten(render, turns)
-        low, tail = _around(a, b)
+        low, high = _place(a, b, len(after))
         shift = done - len(before)
         parts.append(after[len(before) :])
         spans.append((done, shift + len(after)))
-        contents.append((shift + low, shift + len(after) - tail))
+        contents.append((shift + low, shift + high))
         done = spans[-1][1]
         if i & (i + 1) == 0 or i == len(turns) - 1:
             parts = ["".join(parts)]
@@ -122,13 +124,14 @@ def _rewritten(render: Render, turns: Turns) -> Rendered:
     whole, contents = render(turns), []
     for i, (role, _) in enumerate(turns):
         a, b = (render([*turns[:i], (role, s), *turns[i + 1 :]]) for s in _STAND_INS)
-        low, tail = _around(a, b) if a != b else (0, len(whole))
-        contents.append((low, len(whole) - tail))
+        contents.append(_place(a, b, len(whole)))
     return Rendered(whole, contents, contents, True)
 
 
-def _around(a: str, b: str) -> tuple[int, int]:
-    """Characters before and after the place where two outputs of equal length differ."""
+def _place(a: str, b: str, length: int) -> tuple[int, int]:
+    """Where a text stands in an output of this length, by outputs with two stand-ins for it; at the end if it is left out."""
+    if a == b:
+        return length, length
     low, high = 0, min(len(a), len(b))
     while low < high:  # by halves: slices compare faster than characters
         middle = (low + high + 1) // 2
@@ -136,7 +139,9 @@ def _around(a: str, b: str) -> tuple[int, int]:
             low = middle
         else:
             high = middle - 1
-    return low, len(a) - low - 1
+    if a[low + 1 :] != b[low + 1 :]:
+        raise ValueError("the template writes the text of a turn in more than one place")
+    return low, length - (len(a) - low - 1)
 
 
 def conversations(table: DataFrame) -> DataFrame:

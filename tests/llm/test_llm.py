@@ -142,6 +142,21 @@ def test_long_conversations_are_rendered_prefix_by_prefix():
     assert opaque == chat.render_turns(chat.MARKED, turns)
 
 
+def test_texts_left_out_or_written_twice():
+    turns = [("system", "be kind"), ("user", "hi"), ("assistant", "one"), ("system", "hush"), ("user", "so"), ("assistant", "two")] * 3
+    silent = lambda t: "".join(f"{r}:{x};" for r, x in t if r != "system")
+    got = chat.render_turns(silent, turns)
+    assert not got.rewrites and [got.text[a:b] for a, b in got.contents] == ["" if r == "system" else x for r, x in turns]
+    assert [got.text[a:b] for a, b in got.spans] == ["" if r == "system" else f"{r}:{x};" for r, x in turns]
+
+    def dropping(t):  # earlier reasoning goes when the prefix ends with a user
+        return "".join(f"{r}:{'' if t[-1][0] == 'user' and r == 'assistant' else x};" for r, x in t)
+
+    assert chat.render_turns(dropping, [(("user", "assistant")[i % 2], f"turn {i}") for i in range(12)]).rewrites
+    with pytest.raises(ValueError, match="more than one place"):
+        chat.render_turns(lambda t: "".join(f"{x}{x}" for _, x in t), turns)
+
+
 # simhash
 
 
