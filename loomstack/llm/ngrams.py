@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
+#: Bytes of a long text that are taken at once.
+PART = 1 << 20
+
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)
 
 
@@ -50,3 +54,19 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(values, at[:-1][full], axis=0)
     return out
+
+
+def by_parts(raw: np.ndarray, orders: tuple[int, ...], bits: int, part: int = PART) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Order, buckets of its n-grams and letters of successive parts of one text, all but letters taken as spaces; each n-gram comes once."""
+    carry, a = np.zeros(0, np.uint32), 0
+    while a < len(raw):
+        b = min(a + part, len(raw))
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:  # between characters
+            b += 1
+        points, rows, letter = characters(raw[a:b], np.array([0, b - a]))
+        joined = np.concatenate([carry, np.where(letter, points, np.uint32(32))])
+        for n in orders:
+            own = joined[max(len(carry) - n + 1, 0) :]
+            h, _ = hashed(own, np.array([0, len(own)]), n, bits)
+            yield n, h[h < 1 << bits], int(letter.sum())
+        carry, a = joined[-(max(orders) - 1) :] if max(orders) > 1 else joined[:0], b

@@ -5,12 +5,12 @@ rules: every path from a root. Logistic regression with a lasso penalty weighs t
 remains is one column expression over the statistics, themselves column expressions over the whole text, so
 scoring is a narrow projection without Python.
 
-The model is fitted on a bounded sample: about PER_LABEL labelled rows of each label, drawn by a hash of the id
-over all labels; only their statistics reach the driver.
+The model is fitted on a bounded sample: of each label the PER_LABEL labelled ids of the least hashes, each with one
+text; only their statistics reach the driver.
 
 Defined results: a null text counts as an empty one, whose statistics are all zero; with no row of one of the
 labels to learn from, every score is the share of label 1 among what was learned (0 if nothing was); repeated rows
-are scored each; repeated labels count each; null ids and labels are not learned from; empty tables give no rows;
+are scored each; repeated labels count once; null ids and labels are not learned from; empty tables give no rows;
 statistics have names of their own inside, so no column of docs can clash.
 """
 
@@ -190,7 +190,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> Model:
     """A model from the labels of rows where learnable, an expression of id_col, holds."""
     names = list(shares())
-    rows = with_statistics(labelled(docs.select(id_col, text), labels, label, learnable, per_label, id_col), text)
+    rows = with_statistics(labelled(docs, labels, label, learnable, per_label, id_col, text), text)
     got = np.array(sorted(tuple(r) for r in rows.select(*[F.col(f"_v.{k}") for k in names], F.col("_label").cast("double")).toLocalIterator())).reshape(-1, len(names) + 1)
     return Model.fit(got[:, :-1], got[:, -1], names, label_odds(labels, label, learnable))
 

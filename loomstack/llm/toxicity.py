@@ -4,12 +4,14 @@ An n-gram's ratio compares how many toxic and other labelled texts hold it. The
 stand out most from their sampling error are features, present or absent, scaled by their ratio; logistic
 regression fits their weights. Scoring looks up every n-gram of a whole text and counts each once.
 
-The model is fitted on a bounded sample: about PER_LABEL labelled texts of each label, of at most TRAIN_CHARS
-characters, drawn by a hash of the id over all labels.
+The model is fitted on a bounded sample: of each label the PER_LABEL labelled ids of the least hashes, each with one
+text, of at most TRAIN_CHARS characters; if a label has no text that short, its LONG shortest ones are learned from
+whole.
+Scoring takes a text longer than a step in parts.
 
 Defined results: a null text is scored as an empty one; with no row of one of the labels to learn from, every
 score is the share of label 1 among what was learned (0 if nothing was); repeated rows are scored each; repeated
-labels count each; null ids and labels are not learned from; empty tables give no rows; only the named columns
+labels count once; null ids and labels are not learned from; empty tables give no rows; only the named columns
 are read.
 """
 
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import steps
+from loomstack.llm.common import STEP_BYTES, steps
 from loomstack.llm.langid import drawn
-from loomstack.llm.ngrams import characters, hashed, row_sums
+from loomstack.llm.ngrams import by_parts, characters, hashed, row_sums
 
-PER_LABEL, TRAIN_CHARS = 2000, 8_000
+PER_LABEL, TRAIN_CHARS, LONG = 2000, 8_000, 50
 ORDERS, BITS, SELECTED = (3, 4, 5, 6), 20, 1 << 14
 THRESHOLD = 0.3
 #: Least number of sampling errors by which a feature's ratio differs from zero.
@@ -103,8 +105,15 @@ class Model:
         return Model(weights, float(b + np.log(odds)))
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, bucket = present(raw, at, self.weights != 0)
-        z = np.bincount(row, self.weights[bucket], len(at) - 1) + self.bias
+        wanted = self.weights != 0
+        if len(at) == 2 and len(raw) > STEP_BYTES:
+            held = np.zeros(len(wanted), bool)
+            for _, h, _ in by_parts(raw, ORDERS, BITS):
+                held[h[wanted[h]]] = True
+            z = np.array([self.weights[held].sum(dtype=np.float64)]) + self.bias
+        else:
+            row, bucket = present(raw, at, wanted)
+            z = np.bincount(row, self.weights[bucket], len(at) - 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -114,17 +123,23 @@ def label_odds(labels: DataFrame, label: str, learnable: Column) -> float:
     return n["one"] / n["zero"] if n["one"] and n["zero"] else 1.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_label: int, id_col: str) -> DataFrame:
-    """Documents of a bounded draw of labels, with the label: (docs' columns, _label)."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_label: int, id_col: str, text: str = "text") -> DataFrame:
+    """_id, _label and text (of the least hash, where an id has several) of a bounded draw of labels."""
     rows = labels.filter(learnable & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
-    sample = drawn(rows, "_label", per_label, 2, "_id")
-    return docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).drop("_id")  # at most 4 * per_label rows are broadcast
+    sample = drawn(rows, "_label", "_id", per_label, 2 * per_label)  # so many rows are broadcast at most
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    return found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))["t"].alias(text))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> Model:
     """A model from the labels of rows where learnable, an expression of id_col, holds."""
-    rows = labelled(docs.select(id_col, text), labels, label, learnable, per_label, id_col).filter(F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS)
-    got = sorted((r["_label"], r[text] or "") for r in rows.select("_label", text).toLocalIterator())
+    rows = labelled(docs, labels, label, learnable, per_label, id_col, text)
+    short = F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS
+    got = [(r["_label"], r[text] or "") for r in rows.filter(short).select("_label", text).toLocalIterator()]
+    if lacking := {0, 1} - {v for v, _ in got}:
+        longer = rows.filter(~short & F.col("_label").isin(*lacking)).orderBy(F.length(text), "_id").limit(LONG)
+        got += [(r["_label"], r[text]) for r in longer.select("_label", text).toLocalIterator()]
+    got.sort()
     return Model.fit([t for _, t in got], [v for v, _ in got], label_odds(labels, label, learnable))
 
 

@@ -240,6 +240,9 @@ def test_language_id(spark):
     assert all((got[i]["lang_pred"], got[i]["score"], got[i]["ambiguous"]) == ("und", 0.0, True) for i in (900, 901, 902))
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.accepted(df, model).count() == len(docs) + 1
+    half = spark.createDataFrame([(1, "the der of die and das")], "doc_id long, text string")
+    twin = langid.Model(["a", "b"], langid.codewords(2), np.zeros_like(model.weights[:, :1]), np.zeros(1), np.ones(1))
+    assert langid.accepted(half, model).count() == 1 - langid.predict(half, model).first()["ambiguous"] and langid.accepted(half, twin).count() == 0
     assert langid.predict(df.limit(0), model).count() == 0
     none = langid.fit(df, F.lit(False))
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"}
@@ -247,6 +250,80 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(df, one).collect()} == {"und", "xx"}
 
 
+def test_seventy_languages_and_an_id_of_many_rows(spark):
+    rng = random.Random(31)
+    names = [f"l{i:02d}" for i in range(70)]
+    stock = {v: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåžšłđ", k=rng.randrange(2, 7))) for _ in range(25)] for v in names}
+    docs = [(i, " ".join(rng.choices(stock[v], k=40)), v) for i, v in enumerate(names * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    many = spark.range(100_000).select(F.lit(5000).cast("long").alias("doc_id"), F.concat(F.lit("aa bb "), F.col("id").cast("string")).alias("text"), F.lit("l00").alias("lang"))
+    every = df.unionByName(many)
+    drawn = langid.drawn(every, "lang", "doc_id", 8, 8192, "text").collect()
+    count = {v: sum(r["lang"] == v for r in drawn) for v in names}
+    assert set(count.values()) == {8} and len({r["doc_id"] for r in drawn}) == len(drawn)
+    again = langid.drawn(every.repartition(7), "lang", "doc_id", 8, 8192, "text").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
+    assert len(langid.drawn(every, "lang", "doc_id", 8, 140, "text").collect()) == 140
+    model = langid.fit(every, F.col("doc_id") % 4 != 0)
+    assert model.languages == names
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    assert np.mean([got[i] == v for i, _, v in docs if i % 4 == 0]) > 0.95
+
+
+def brute_grams(text, n):
+    from loomstack.llm.ngrams import characters, hashed
+
+    points, rows, letter = characters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    points = np.where(letter, points, np.uint32(32))
+    return lambda bits: [int(hashed(points[i : i + n], np.array([0, n]), n, bits)[0][0]) for i in range(len(points) - n + 1)]
+
+
+def test_decoding_of_output_codes_equals_brute_force():
+    rng = np.random.default_rng(3)
+    code = langid.codewords(7)
+    weights = np.r_[rng.normal(size=(1 << langid.BITS, code.shape[1])), np.zeros((1, code.shape[1]))].astype(np.float32)
+    model = langid.Model([f"l{i}" for i in range(7)], code, weights, rng.normal(size=code.shape[1]), rng.uniform(0.05, 1, code.shape[1]))
+    texts = ["Some words, 12 in all", "é", "", "!!", "straße über ÄÖ"]
+    raw = [t.encode() for t in texts]
+    lang, score, ambiguous = model.predict(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    for t, v, s, unclear in zip(texts, lang, score, ambiguous, strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (v, s, unclear) == ("und", 0.0, True)
+            continue
+        margin = model.bias.copy()
+        for n in langid.ORDERS:
+            grams = brute_grams(t, n)(langid.BITS)
+            for g in grams:
+                margin += weights[g].astype(float) / len(grams)
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-code[k, b] * margin[b])) for b in range(code.shape[1])) for k in range(7)]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert v == f"l{p.argmax()}" and abs(s - p.max()) < 1e-6 and unclear == (np.sort(p)[-1] - np.sort(p)[-2] < langid.LEAD)
+
+
+def test_naive_bayes_scores_equal_brute_force():
+    rng = random.Random(4)
+    texts = [words(rng, 30, 40) + (" nasty thing" if i % 3 == 0 else " kind word") for i in range(60)]
+    model = toxicity.Model.fit(texts, [int(i % 3 == 0) for i in range(60)], 0.5)
+    assert (model.weights != 0).any()
+    for t in [*texts[:6], "", "nasty NASTY nasty"]:
+        held = {g for n in toxicity.ORDERS for g in brute_grams(t, n)(toxicity.BITS)}
+        z = model.bias + sum(float(model.weights[g]) for g in held)
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert abs(model.score(raw, np.array([0, len(raw)]))[0] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_long_texts_are_classified_in_parts():
+    rng = random.Random(5)
+    long = "é" + words(rng, 600_000, 5000) + " nasty thing ü"
+    raw = np.frombuffer(long.encode(), np.uint8)
+    whole, _ = langid.frequencies(raw, np.array([0, len(raw)]), np.r_[np.eye(1 << langid.BITS, 8), np.zeros((1, 8))])
+    assert len(raw) > 3 << 20 and np.allclose(langid.histogram(raw)[0][:8], whole[0])
+    model = toxicity.Model.fit([words(rng, 30, 40) + (" nasty thing" if i % 3 == 0 else " kind word") for i in range(60)], [int(i % 3 == 0) for i in range(60)])
+    _, bucket = toxicity.present(raw, np.array([0, len(raw)]), model.weights != 0)
+    z = model.weights[bucket].sum(dtype=float) + model.bias
+    assert abs(model.score(raw, np.array([0, len(raw)]))[0] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6
+
+
 def test_codewords_are_far_apart():
     for k in (2, 3, 4, 5, 9, 20):
         code = langid.codewords(k)
