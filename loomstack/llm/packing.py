@@ -6,17 +6,23 @@ product with what the sequence has left (both as shares of the limits). When non
 cut at the limit. What is left at the end of a task is laid into sequences whose lengths are powers of two
 (down to SHORTEST), so no sequence but the last of a task needs padding.
 
-Nothing is shuffled, and a task's memory holds the pool and one batch, however long its partition is.
+Every id bears loss, unless a column of spans tells which characters do, as format_chats() gives it: a text is then cut
+at the spans' borders and each part encoded alone, ids of spans bear loss, and so does the end token of a text with
+any such id.
 
-Defined results: a null text is empty and packs as its end token alone; repeated rows are packed each;
-a null id is passed on; an empty table gives no rows; only the named columns are read. Sequence numbers are
-unique: the task's partition times 2**40 plus a count.
+Nothing is shuffled, and a task's memory holds the pool, one batch, and a cache of bounded entries and bytes, however
+long its partition is. A text longer than a step is encoded in parts that end at white space.
+
+Defined results: a null text is empty and packs as its end token alone; null spans are none, spans are clipped to the
+text and may overlap; repeated rows are packed each; a null id is passed on; an empty table gives no rows; only the
+named columns are read. Sequence numbers are unique: the task's partition times 2**40 plus a count.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,18 +33,31 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomstack.llm.common import steps
+from loomstack.llm.common import STEP_BYTES, steps
 
 TOKENS, SEGMENTS, END = 2048, 256, 1
 #: Pieces that wait in a task.
 POOL = 256
 #: The shortest sequence that a task's leftover is cut into.
 SHORTEST = 64
-#: Units that a worker's cache of token ids holds before it starts anew.
-CACHE = 1_000_000
+#: Units, and their bytes, that a worker's cache of token ids holds before it starts anew.
+CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 #: Words encoded at once.
 GROUP = 500
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about this size that end at white space; a longer unit is not cut."""
+    low = 0
+    while low < len(text):
+        cut = _SPACE.search(text, low + size)
+        high = cut.end() if cut else len(text)
+        yield text[low:high]
+        low = high
+
+
 def _ragged(first: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows at of a ragged array, joined, and their lengths."""
     low, wide = first[at], first[at + 1] - first[at]
@@ -82,6 +101,7 @@ class UnitTokenizer:
 
     def reset(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.held = 0
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -114,10 +134,16 @@ class UnitTokenizer:
         rest = self._one_by_one(texts[some:])
         self.ids = np.concatenate([self.ids, done[0], rest[0]])
         self.first = np.r_[self.first, self.first[-1] + np.r_[done[1], rest[1]].cumsum()]
+        self.held += sum(map(len, units))
         self.place.update(zip(units, range(len(self.place), len(self.place) + len(units)), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) > CACHE:
+        if len(texts) == 1 and len(texts[0]) > STEP_BYTES:
+            return [np.concatenate([self._encoded([part])[0] for part in _parts(texts[0], STEP_BYTES)])]
+        return self._encoded(texts)
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.place) > CACHE or self.held > CACHE_BYTES:
             self.reset()
         units = [t.split() for t in texts]  # of bytes: ASCII white space only
         if new := [u for u in set(chain.from_iterable(units)) if u not in self.place]:
@@ -139,7 +165,7 @@ def unit_tokenizer(path: str) -> UnitTokenizer:
 
 
 class Packer:
-    """A stream of (name, ids, loss-bearing flags or None) into pieces (name, start, ids, total, sequence, offset)."""
+    """A stream of (name, ids, loss-bearing flags or None for all) into pieces (name, start, ids, total, sequence, offset, loss-bearing ids)."""
 
     def __init__(self, limits: tuple[int, int, int], pool: int, first: int):
         self.limits, self.pool, self.sequence = np.array(limits, float), pool, first
@@ -153,8 +179,9 @@ class Packer:
 
     def _put(self, piece: list, n: int) -> tuple:
         name, start, ids, loss, total = piece
-        out = (name, start, ids[:n], total, self.sequence, self.offset)
-        self.left -= (n, 1, n if loss is None else int(loss[:n].sum()))
+        bears = n if loss is None else int(loss[:n].sum())
+        out = (name, start, ids[:n], total, self.sequence, self.offset, bears)
+        self.left -= (n, 1, bears)
         self.offset += n
         return out
 
@@ -221,10 +248,33 @@ class Packer:
         self.limits = limits
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int | None = None, end: int = END, pool: int = POOL) -> DataFrame:
-    """Pieces of all documents: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    tokenizer: the path, on every machine, of a file for UnitTokenizer. Every id of a document bears loss.
+def _masked(texts: list[bytes], spans: list[list[dict] | None], encode: UnitTokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of every text, whose parts inside and outside its spans are encoded alone, and which of them bear loss."""
+    cut, bears, count = [], [], []
+    for text, own in zip(texts, spans, strict=True):
+        said, at, before = text.decode(), 0, len(cut)
+        for s in sorted((max(s["start"], 0), s["end"]) for s in own or [] if s is not None and s["start"] is not None and s["end"] is not None):
+            low, high = max(s[0], at), min(s[1], len(said))
+            if low < high:
+                cut += [said[at:low].encode(), said[low:high].encode()]
+                bears += [False, True]
+                at = high
+        cut.append(said[at:].encode())
+        bears.append(False)
+        count.append(len(cut) - before)
+    ids = encode(cut) if max(map(len, cut), default=0) <= STEP_BYTES else [encode([c])[0] for c in cut]
+    low = 0
+    for n in count:
+        own = ids[low : low + n]
+        yield np.concatenate(own), np.repeat(bears[low : low + n], [len(i) for i in own])
+        low += n
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int | None = None, end: int = END, pool: int = POOL, loss: str | None = None) -> DataFrame:
+    """Pieces of all documents: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_length.
+
+    tokenizer: the path, on every machine, of a file for UnitTokenizer. loss: a column of array<struct<start, end>>, the
+    spans of code points that bear loss; without it all ids do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +284,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
             data = raw.tobytes()
             names = rows.column(rows.schema.get_field_index(id_col)).to_pylist()
             texts = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            for name, ids in zip(names, encode(texts), strict=True):
-                found += map(_row, packer.add(name, np.append(ids, np.int32(end))))
+            if loss:
+                own = _masked(texts, rows.column(rows.schema.get_field_index(loss)).to_pylist(), encode)
+            else:
+                own = ((ids, None) for ids in encode(texts))
+            for name, (ids, bears) in zip(names, own, strict=True):
+                found += map(_row, packer.add(name, np.append(ids, np.int32(end)), None if bears is None else np.append(bears, bears.any())))
             if len(found) >= 4096:
                 yield _batch(found, kind)
                 found = []
@@ -245,9 +299,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     if min(tokens, segments, loss_tokens or tokens) < 1:
         raise ValueError("every limit must be at least 1")
-    source = docs.select(id_col, text)
-    kind = pa.schema([(id_col, _arrow(source, id_col)), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-    return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    source = docs.select(id_col, text, *([loss] if loss else []))
+    longs = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
+    kind = pa.schema([(id_col, _arrow(source, id_col)), *((n, pa.int64()) for n in longs)])
+    return source.mapInArrow(run, ", ".join([f"`{id_col}` {dict(source.dtypes)[id_col]}", *(f"{n} long" for n in longs)]))
 
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:
@@ -257,8 +312,8 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
 
 
 def _row(piece: tuple) -> tuple:
-    name, start, ids, total, sequence, offset = piece
-    return name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset
+    name, start, ids, total, sequence, offset, bears = piece
+    return name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset, bears
 
 
 def _batch(found: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
