@@ -11,13 +11,16 @@ byte-level tokenizers do; such a pattern's splits after a shared boundary are th
 
 Defined results: a null text is empty and counts 0; null edits are none; an edit's places are clipped to the text, a
 null replacement deletes; repeated rows are counted each; an empty table gives no rows; only the named columns are
-read. A task holds one batch of rows and the cache of pre-token counts, which starts anew at CACHE entries.
+read. A task holds a step's texts, or one longer text with two numbers for each of its pre-tokens, and the cache of
+pre-token counts, which starts anew at CACHE entries or CACHE_CHARS characters.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, SPLIT, CONTEXT, CACHE = 64, 4, 3, 500_000
+from loomstack.llm.common import steps
+
+BLOCK, SPLIT, CONTEXT, CACHE, CACHE_CHARS = 64, 4, 3, 500_000, 16 << 20
+#: Pre-tokens that are split off and counted at once.
+TOGETHER = 1 << 16
 
 
 class Counter:
@@ -37,33 +44,44 @@ class Counter:
         with open(ranks, "rb") as lines:  # installed with the tokenizers on every machine
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.pattern, self.known = regex.compile(pattern), {}
+        self.pattern, self.known, self.held = regex.compile(pattern), {}, 0
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def counts(self, pieces: list[str]) -> list[int]:
+    def counts(self, pieces: list[str]) -> array:
         known = self.known
         try:
-            return [known[p] for p in pieces]
+            return array("i", [known[p] for p in pieces])
         except KeyError:
-            if len(known) > CACHE:
+            if len(known) > CACHE or self.held > CACHE_CHARS:
                 known.clear()
+                self.held = 0
             for p in pieces:
                 if p not in known:
                     known[p] = len(self.encode(p))
-            return [known[p] for p in pieces]
+                    self.held += len(p)
+            return array("i", [known[p] for p in pieces])
+
+    def measured(self, text: str) -> tuple[array, array]:
+        """Characters and tokens of the text's pre-tokens."""
+        sizes, tokens = array("i"), array("i")
+        found = (m.group() for m in self.pattern.finditer(text)) if len(text) > TOGETHER else iter(self.split(text))
+        while pieces := list(islice(found, TOGETHER)):
+            sizes.extend(map(len, pieces))
+            tokens.extend(self.counts(pieces))
+        return sizes, tokens
 
 
 class Tree:
     """Characters and tokens of a document's pre-tokens, in blocks under a binary tree of sums."""
 
-    def __init__(self, sizes: list[int], tokens: list[int]):
+    def __init__(self, sizes: array, tokens: array):
         self._lay(sizes, tokens)
         self.encoded = 0
 
-    def _lay(self, sizes: list[int], tokens: list[int]) -> None:
-        self.blocks = [(sizes[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(sizes), BLOCK)] or [([], [])]
+    def _lay(self, sizes: array, tokens: array) -> None:
+        self.blocks = [(sizes[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(sizes), BLOCK)] or [(array("i"), array("i"))]
         self.width = 1 << (len(self.blocks) - 1).bit_length()
         self.sums = [(0, 0)] * self.width + [(sum(s), sum(t)) for s, t in self.blocks] + [(0, 0)] * (self.width - len(self.blocks))
         for i in range(self.width - 1, 0, -1):
@@ -129,17 +147,17 @@ class Tree:
             last, end_index = len(self.blocks) - 1, len(self.blocks[-1][0])
         last = min(last, len(self.blocks) - 1)
         self.encoded += len(fresh)
-        self._splice(first, index, last, end_index, [len(p) for p in fresh], counter.counts(fresh))
+        self._splice(first, index, last, end_index, array("i", map(len, fresh)), counter.counts(fresh))
         return edited
 
-    def _splice(self, first: int, index: int, last: int, end_index: int, sizes: list[int], tokens: list[int]) -> None:
+    def _splice(self, first: int, index: int, last: int, end_index: int, sizes: array, tokens: array) -> None:
         head, tail = self.blocks[first], self.blocks[last]
         merged = head[0][:index] + sizes + tail[0][end_index:], head[1][:index] + tokens + tail[1][end_index:]
         self.blocks[first] = merged
         for i in range(first + 1, last + 1):
-            self.blocks[i] = ([], [])
+            self.blocks[i] = (array("i"), array("i"))
         if len(merged[0]) > SPLIT * BLOCK:
-            self._lay([s for b, _ in self.blocks for s in b], [t for _, b in self.blocks for t in b])
+            self._lay(*self._flat())
             return
         touched = set()
         for i in range(first, last + 1):
@@ -151,12 +169,20 @@ class Tree:
                     self._add(i)
             touched = {i // 2 for i in touched if i > 1}
 
+    def _flat(self) -> tuple[array, array]:
+        sizes, tokens = array("i"), array("i")
+        for s, t in self.blocks:
+            sizes += s
+            tokens += t
+        return sizes, tokens
+
     def dump(self) -> dict:
-        return {"sizes": [s for b, _ in self.blocks for s in b], "tokens": [t for _, b in self.blocks for t in b]}
+        sizes, tokens = self._flat()
+        return {"sizes": sizes.tolist(), "tokens": tokens.tolist()}
 
     @staticmethod
     def load(state: dict) -> Tree:
-        return Tree(state["sizes"], state["tokens"])
+        return Tree(array("i", state["sizes"]), array("i", state["tokens"]))
 
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
@@ -173,13 +199,13 @@ _TREE = pa.struct([("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32
 _TREE_SQL = "struct<sizes:array<int>,tokens:array<int>>"
 
 
-def _mapped(rows: DataFrame, id_col: str, extra: list[tuple[str, pa.DataType, str]], each: Callable) -> DataFrame:
+def _mapped(rows: DataFrame, id_col: str, text: str, extra: list[tuple[str, pa.DataType, str]], each: Callable) -> DataFrame:
     """A narrow map: each(row values without the id) gives the extra columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+        for whole, _, _ in steps(batches, text):
+            for low in range(0, whole.num_rows, 1024):
+                part = whole.slice(low, 1024)
                 out = [each(*v) for v in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t, _) in zip(zip(*out, strict=True), extra, strict=True))], [id_col, *(n for n, _, _ in extra)])
 
@@ -191,11 +217,10 @@ def build(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
 
     def each(text: str | None) -> tuple:
         own = counter(ranks, pattern)
-        pieces = own.split(text or "")
-        tree = Tree([len(p) for p in pieces], own.counts(pieces))
+        tree = Tree(*own.measured(text or ""))
         return tree.total, tree.dump()
 
-    return _mapped(docs.select(id_col, text), id_col, [("n_tokens", pa.int64(), "long"), ("tree", _TREE, _TREE_SQL)], each)
+    return _mapped(docs.select(id_col, text), id_col, text, [("n_tokens", pa.int64(), "long"), ("tree", _TREE, _TREE_SQL)], each)
 
 
 def apply(states: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text", tree: str = "tree", edits: str = "edits") -> DataFrame:
@@ -207,7 +232,7 @@ def apply(states: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
             now = held.edit(now, e["start"], e["end"], e["text"] or "", own)
         return now, held.total, held.encoded, held.dump()
 
-    return _mapped(states.select(id_col, text, tree, edits), id_col, [("text", pa.string(), "string"), ("n_tokens", pa.int64(), "long"), ("n_encoded", pa.int64(), "long"), ("tree", _TREE, _TREE_SQL)], each)
+    return _mapped(states.select(id_col, text, tree, edits), id_col, text, [("text", pa.string(), "string"), ("n_tokens", pa.int64(), "long"), ("n_encoded", pa.int64(), "long"), ("tree", _TREE, _TREE_SQL)], each)
 
 
 def revise(docs: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,15 +240,14 @@ def revise(docs: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str
 
     def each(text: str | None, edits: list[dict] | None) -> tuple:
         own, now = counter(ranks, pattern), text or ""
-        pieces = own.split(now)
-        tree = Tree([len(p) for p in pieces], own.counts(pieces))
-        before = tree.total
+        tree = Tree(*own.measured(now))
+        before, pieces = tree.total, tree.pieces
         for e in edits or []:
             now = tree.edit(now, e["start"], e["end"], e["text"] or "", own)
-        return before, tree.total, len(pieces), tree.encoded
+        return before, tree.total, pieces, tree.encoded
 
     longs = [(n, pa.int64(), "long") for n in ("n_tokens", "n_tokens_edited", "n_pieces", "n_encoded")]
-    return _mapped(docs.select(id_col, text, edits.alias("_edits")), id_col, longs, each)
+    return _mapped(docs.select(id_col, text, edits.alias("_edits")), id_col, text, longs, each)
 
 
 def sample_revision(text: str = "text") -> Column:
