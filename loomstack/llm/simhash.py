@@ -6,7 +6,8 @@ link lies within some shard. Each shard is a BK-tree: a child hangs on its paren
 Hamming distance, and a search follows only edges within the radius of its own distance to the node. m grows
 with the number of fingerprints, so shards stay small; a shard that is still too full is dealt once more by the
 bits that its key leaves free, by the same rule. A task turns the links of its shards into a spanning forest,
-so a group of copies costs rows in proportion to its size, and rounds of large and small stars join the forests.
+so a group of copies costs rows in proportion to its size, and rounds of large and small stars join the forests;
+a component's root, however many rows hang on it, is met by a bounded broadcast.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; equal fingerprints are
 always linked; repeated rows (equal doc_id) each give a row; a null doc_id takes part, but names a component
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loomstack.llm.common import materialize, steps
+from loomstack.operators.graph import met, stars
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Rows of a shard above which it is dealt again by its free bits.
@@ -184,39 +186,20 @@ def forest_edges(dealt: DataFrame, radius: int = RADIUS) -> DataFrame:
     return spread.mapInArrow(search, "u long, v long")
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """Connected components of edges u > v: each node u with the smallest node v of its component, v itself left out.
-
-    Rounds of a large star (every greater neighbour of u hangs on the least node around u) and a small star
-    (the lesser ones do). Neighbours meet only in a minimum and a join, so a hub needs no list of its neighbours.
-    """
-    edges, seen = materialize(edges.distinct(), "stars"), None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(small.filter("u > v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges
-        seen = now
-
-
 def _rooted(prints: DataFrame, id_col: str, radius: int, full: int) -> DataFrame:
-    """Every distinct fp with the least id of its rows and its component's root, the component's smallest fp."""
-    own = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
+    """Every distinct fp with the least id of its rows, how many they are, and its component's root, the component's smallest fp."""
+    own = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "fingerprints")
     linked = stars(forest_edges(shards(own.select("fp"), own.count(), radius, full), radius))
-    return own.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    return own.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("v", "fp").alias("root"))
 
 
 def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, full: int = FULL) -> DataFrame:
     """prints (id_col, fp) with component_id, the smallest id that links reach."""
-    rooted = _rooted(prints, id_col, radius, full)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select(id_col, "fp", "component_id")
+    rooted = materialize(_rooted(prints, id_col, radius, full), "rooted")
+    total = rooted.agg(F.count("*").alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    members = met(rooted, named, "root", "component_id", "k", total["fps"]).select("fp", "component_id", "n")
+    return met(prints, members, "fp", "component_id", "n", total["rows"]).select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
