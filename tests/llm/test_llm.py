@@ -394,8 +394,7 @@ def counter(tmp_path):
 def test_edited_counts_equal_full_encoding(tmp_path):
     own, rng = counter(tmp_path), random.Random(6)
     for text in ("", "  ", "it's a\n\n line  ", "é" * 50, "".join(rng.choice("ab  \n'st9.,") for _ in range(3000))):
-        pieces = own.split(text)
-        tree = token_counts.Tree([len(p) for p in pieces], own.counts(pieces))
+        tree = token_counts.Tree(*own.measured(text))
         for _ in range(60):
             a = rng.randrange(len(text) + 1)
             b = a + rng.choice([0, 0, 1, 3, 200])
@@ -419,8 +418,16 @@ def test_token_counts_in_frames(spark):
     given = docs.select("doc_id", "text").join(states, "doc_id").join(edits, "doc_id", "left")
     for r in token_counts.apply(given, *args).collect():
         assert r["n_tokens"] == len(own.encode(r["text"])) and r["n_encoded"] < 40
-    revised = token_counts.revise(docs, token_counts.sample_revision(), *args).collect()
-    assert len(revised) == 5 and token_counts.build(docs.limit(0), *args).count() == 0
+    revised = sorted(tuple(r)[1:] for r in token_counts.revise(docs, token_counts.sample_revision(), *args).collect())
+    want = []
+    for text in (t or "" for t in texts):  # the same edits on the text, encoded whole
+        edited = text
+        for part, wide, new in ((0.75, 5, "Edited"), (0.5, 0, " as amended, 2026"), (0.25, 7, "")):
+            at = int(len(text) * part)
+            edited = edited[:at] + new + edited[at + wide :]
+        want.append((len(own.encode(text)), len(own.encode(edited)), len(own.split(text))))
+    assert [r[:3] for r in revised] == sorted(want) and all(r[3] < 60 for r in revised)
+    assert token_counts.build(docs.limit(0), *args).count() == 0
 
 
 # neighbours
@@ -452,6 +459,25 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id = 5001"), F.lit(True)).count() == 0
 
 
+def test_more_rows_than_the_sample_and_large_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + 0.5 * rng.normal(size=(6000, 16))
+    size = 10.0 ** rng.integers(-200, 200, 6000)
+    df = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, size, strict=True))], "vec_id long, embedding array<double>")
+    got, hit = {}, 0
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, sample=500).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert ann.Index.fit(ann.unit(x[:500]), 6000).fine is not None
+    for q, found in got.items():
+        near = ann.cosine(x[q][None], x)
+        near[q] = -9
+        assert all(abs(s - near[i]) < 1e-12 for _, i, s in found)
+        hit += len({f[1] for f in found} & set(np.lexsort((np.arange(len(x)), -near))[:5].tolist()))
+    assert len(got) == 120 and hit >= 0.9 * 600
+    wide = np.array([[1e200, 2e200], [2e-200, 4e-200], [5e-324, 0.0]])
+    assert np.allclose(ann.cosine(wide[0][None], wide), [1, 1, 1 / np.sqrt(5)])
+
+
 def test_neighbours_behind_many_rows_of_one_code(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(4, 24))
@@ -546,6 +572,56 @@ def test_pieces_make_up_all_documents(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_conversations_pack_under_three_limits(spark):
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    said = [(c, t, ("user", "assistant")[t % 2], words(rng, rng.randrange(1, 60), 3000)) for c in range(150) for t in range(rng.randrange(1, 7))]
+    said += [(900, 0, "user", "only a question"), (901, 0, "assistant", None), (902, 0, "assistant", "said " * 400)]
+    chats = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    if os.path.isdir(d := "/root/testdata/sf0.001"):
+        chats = chats.unionByName(spark.read.parquet(f"{d}/conversations.parquet").withColumn("conv_id", F.col("conv_id") + 5000).select(chats.columns))
+    formatted = chat.format_chats(chats).coalesce(2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(formatted, path, "conv_id", "formatted", tokens=256, segments=4, loss_tokens=100, loss="loss_spans").toPandas()
+    model = Tokenizer.from_file(path)
+    encode = lambda t: model.encode(t, add_special_tokens=False).ids
+    for r in formatted.collect():
+        ids, bears, at = [], [], 0
+        for s in r["loss_spans"]:
+            for part, flag in ((r["formatted"][at : s["start"]], 0), (r["formatted"][s["start"] : s["end"]], 1)):
+                ids += encode(part)
+                bears += [flag] * (len(ids) - len(bears))
+            at = s["end"]
+        ids += encode(r["formatted"][at:])
+        bears += [0] * (len(ids) - len(bears))
+        ids, bears, at = np.array([*ids, 1], "<u4"), [*bears, int(any(bears))], 0
+        for p in got[got.conv_id == r["conv_id"]].sort_values("start").itertuples():
+            assert (p.start, p.doc_tokens, p.ids_crc32, p.loss_length) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()), sum(bears[at : at + p.length]))
+            at += p.length
+        assert at == len(ids)
+    of = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_length", "sum"))
+    assert (of.tokens <= 256).all() and (of.segments <= 4).all() and (of.loss <= 100).all()
+    assert (of.tokens == 256).any() and (of.segments == 4).any() and (of.loss == 100).any()
+
+
+def test_long_texts_are_encoded_in_parts(tmp_path):
+    import public_tokenizers
+
+    rng = random.Random(15)
+    encode = packing.UnitTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    text = words(rng, 700_000, 3000) + "\n" + "é" * 3000
+    assert len(text) > 3 << 20
+    assert (encode([text.encode()])[0] == np.concatenate([encode([w.encode()])[0] for w in text.split("\n")])).all()
+    assert encode.model.encode(text[-300_000:], add_special_tokens=False).ids == encode([text[-300_000:].encode()])[0].tolist()
+    own = counter(tmp_path)
+    sizes, tokens = own.measured(text)
+    assert sum(sizes) == len(text) and sum(tokens) == len(own.encode(text)) and len(sizes) == len(own.split(text))
+
+
 def test_all_three_limits_hold():
     rng = np.random.default_rng(3)
     packer, out = packing.Packer((100, 4, 60), 16, 0), []
@@ -554,8 +630,9 @@ def test_all_three_limits_hold():
         out += packer.add(i, ids, loss)
     out += packer.finish()
     whole, load = {i: 0 for i in docs}, {}
-    for name, start, ids, total, sequence, offset in out:
+    for name, start, ids, total, sequence, offset, bears in out:
         loss = docs[name][1][start : start + len(ids)].sum()
+        assert bears == loss
         assert (docs[name][0][start : start + len(ids)] == ids).all()
         whole[name] += len(ids)
         t, s, v = load.get(sequence, (0, 0, 0))
