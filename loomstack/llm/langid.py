@@ -203,13 +203,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, lang_pred string, score double, ambiguous boolean")
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language is known, not ambiguous, and has at least this score, as they are."""
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0, ambiguous: bool = True) -> DataFrame:
+    """The rows whose language is known and has at least this score, as they are; ambiguous: whether those of two near languages stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in steps(batches, text, sent.value.step()):
             lang, score, unclear = sent.value.predict(raw, at)
-            yield part.filter(pa.array([v != UNKNOWN and s >= least and not u for v, s, u in zip(lang, score, unclear, strict=True)], pa.bool_()))
+            yield part.filter(pa.array([v != UNKNOWN and s >= least and (ambiguous or not u) for v, s, u in zip(lang, score, unclear, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
