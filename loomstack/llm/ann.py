@@ -8,8 +8,8 @@ The index is fitted on a bounded sample (of the SAMPLE least hashes of ids) and
 square root of the rows: where the sample cannot carry so many centroids, each is split by FINE shared centroids of
 the residuals. How many lists a query visits and how many rows are reranked is also fitted there: the least that find
 RECALL of the true neighbours of CHECKS sample rows, up to whole blocks. A list is cut into blocks of BLOCK rows, so a
-vector that is a third of all rows fills many blocks, not one task; queries meet blocks, never each other, and only a
-block's best rows leave it. Reranking multiplies matrices and then works out the exact measure of those that come
+vector that is a third of all rows fills many blocks, not one task; queries meet blocks, never each other, and only
+the best rows of the blocks that a task has seen leave it (it holds HELD of them at most). Reranking multiplies matrices and then works out the exact measure of those that come
 within rounding of the best.
 
 Defined results: vectors that are null, zero, of another than the most frequent dimension, or hold null or
@@ -34,6 +34,8 @@ K, SAMPLE, CHECKS, RECALL = 5, 16_384, 200, 0.98
 PIECES, CODEWORDS, BLOCK, FINE = 16, 64, 4096, 64
 #: Queries whose tables are held at once, components that their reranking gathers, and how many rows a block reranks at least; it reranks as many as are needed.
 TOGETHER, GATHERED, RERANK = 256, 4_000_000, (16, 32, 64, 128, 256)
+#: Found rows that a task holds before it keeps each query's best, or hands them on if those are too many as well.
+HELD = 1 << 19
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -88,7 +90,7 @@ class Index:
         lists = max(1.0, np.sqrt(rows))
         coarse = kmeans(sample, int(np.clip(lists, 1, max(1, len(sample) // 16))), 8, rng)
         rest, fine = sample - coarse[nearest(sample, coarse)], None
-        if lists > len(coarse) and len(sample) > 16:
+        if int(lists) > len(coarse) and len(sample) > 16:
             fine = kmeans(rest, min(FINE, int(np.ceil(lists / len(coarse)))), 8, rng)
             rest = rest - fine[nearest(rest, fine)]
         centroids = coarse if fine is None else (coarse[:, None] + fine[None]).reshape(-1, sample.shape[1])
@@ -170,6 +172,39 @@ def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return values.reshape(batch.num_rows, -1)
 
 
+class Best:
+    """Found rows (query, id, score) of a task, thinned to the k best of each query whenever HELD are there."""
+
+    def __init__(self, k: int):
+        self.k, self.found, self.n = k, [], 0
+
+    def add(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.found.append(found)
+        self.n += len(found[0])
+        if self.n >= HELD:
+            kept = self._thinned()
+            if self.n > HELD // 2:
+                yield self._batch(kept)
+                self.found, self.n = [], 0
+
+    def _thinned(self) -> tuple[np.ndarray, ...]:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.found = [(query[kept], ids[kept], score[kept])]
+        self.n = len(self.found[0][0])
+        return self.found[0]
+
+    @staticmethod
+    def _batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["query_id", "id", "score"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield self._batch(self._thinned())
+
+
 @dataclass
 class Block:
     """Rows of one list, in the order of their ids."""
@@ -254,7 +289,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("code"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, now, held, block = sent.value, None, [], None
+        index, now, held, block, best = sent.value, None, [], None, Best(k)
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_numpy() for i in (0, 1, 2)), strict=True))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
@@ -270,8 +305,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
                     step = TOGETHER if index.rerank >= len(block.ids) else max(1, min(TOGETHER, GATHERED // (block.x.shape[1] * max(k, index.rerank))))
                     for i in range(a, b, step):
                         part = batch.slice(i, min(step, b - i))
-                        found = block.best(part.column(3).to_numpy(zero_copy_only=False), _matrix(part, 4), index, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["query_id", "id", "score"])
+                        yield from best.add(block.best(part.column(3).to_numpy(zero_copy_only=False), _matrix(part, 4), index, k))
+        yield from best.rest()
 
     both = held.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "kind")
     found = both.mapInArrow(meet, f"query_id {id_type}, id {id_type}, score double")
