@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,8 @@ GENERIC = (
     "launch vehicle", "ground system", "flight software",
 )
 ID_CHARS = 72
+#: Seconds before a second attempt, and at most.
+BACKOFF, BACKOFF_CAP = 2.0, 60.0
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -30,8 +33,18 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space, Unicode's included, at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+@F.pandas_udf(StringType())
+def casefold(text: pd.Series) -> pd.Series:
+    return text.map({t: t.casefold() for t in text.dropna().unique()})
+
+
 def snake(phrase: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(phrase)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(casefold(phrase), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def folded(text: str) -> str:
@@ -53,9 +66,16 @@ def name_key(name: pd.Series) -> pd.Series:
     return name.map({n: _key(n) for n in name.dropna().unique()})
 
 
+@lru_cache
+def _digits() -> str:
+    """A pattern's class of the characters that Unicode counts as digits: decimal ones and single signs for them."""
+    others = (c for c in range(0x110000) if chr(c).isdigit() and not chr(c).isdecimal())
+    return r"\p{Nd}" + "".join(f"\\x{{{c:x}}}" for c in others)
+
+
 def mergeable(key: Column) -> Column:
     """Whether a key is specific enough to join mentions."""
-    return (F.length(key) > 2) & ~key.isin(*GENERIC) & ~key.rlike(r"^\p{N}+$")
+    return (F.length(key) > 2) & ~key.isin(*GENERIC) & ~key.rlike(f"^[{_digits()}]+$")
 
 
 def _slug(name: str) -> str:
@@ -73,24 +93,25 @@ def document_of(chunk_id: Column) -> Column:
     return F.regexp_replace(chunk_id, ":[^:]*$", "")
 
 
-def contains_half(chunk: Column, quote: Column) -> Column:
-    """Whether the chunk holds at least half of the quote in one stretch, white space aside.
+def half_held(chunk: Column, quote: Column) -> Column:
+    """Whether the chunk holds at least half of the quote in one stretch; both with their white space settled.
 
     A stretch of h or more characters is shared exactly if some window of h characters of the quote occurs. Such a
     window holds one of the quote's consecutive blocks of half its length whole, so most pairs need those few alone.
     """
-    both = F.array(F.struct(spaced(quote).alias("q"), spaced(chunk).alias("t")))  # as a lambda's variable, worked out once
+    n = F.length(quote)
+    half = F.ceil(n / 2).cast("int")
+    part = F.greatest(F.floor((half + 1) / 2).cast("int"), F.lit(1))
+    blocks = F.sequence(F.lit(0), F.floor(n / part).cast("int") - 1)
+    near = F.exists(blocks, lambda k: F.contains(chunk, F.substring(quote, k * part + 1, part)))
+    windows = F.sequence(F.lit(1), n - half + 1)
+    return F.coalesce((n > 0) & near & (F.contains(chunk, quote) | F.exists(windows, lambda i: F.contains(chunk, F.substring(quote, i, half)))), F.lit(False))
 
-    def found(s: Column) -> Column:
-        n = F.length(s["q"])
-        half = F.ceil(n / 2).cast("int")
-        part = F.greatest(F.floor((half + 1) / 2).cast("int"), F.lit(1))
-        blocks = F.sequence(F.lit(0), F.floor(n / part).cast("int") - 1)
-        near = F.exists(blocks, lambda k: F.contains(s["t"], F.substring(s["q"], k * part + 1, part)))
-        windows = F.sequence(F.lit(1), n - half + 1)
-        return (n > 0) & near & (F.contains(s["t"], s["q"]) | F.exists(windows, lambda i: F.contains(s["t"], F.substring(s["q"], i, half))))
 
-    return F.coalesce(F.exists(both, found), F.lit(False))
+def contains_half(chunk: Column, quote: Column) -> Column:
+    """Whether the chunk holds at least half of the quote in one stretch, white space aside."""
+    both = F.array(F.struct(spaced(quote).alias("q"), spaced(chunk).alias("t")))  # as a lambda's variable, worked out once
+    return F.exists(both, lambda s: half_held(s["t"], s["q"]))
 
 
 def _longest(wanted: str, text: str) -> int:
@@ -135,6 +156,6 @@ def masked(text: Column, secret: str = r"(?i)(bearer\s+|token[=:]\s*|key[=:]\s*)
     return F.regexp_replace(text, secret, "$1***")
 
 
-def backoff(attempt: Column, retry_after: Column, base: float = 2.0, cap: float = 60.0) -> Column:
+def backoff(attempt: Column, retry_after: Column, base: float = BACKOFF, cap: float = BACKOFF_CAP) -> Column:
     """Seconds before the next attempt: what the service asks, else doubling, up to a cap."""
-    return F.least(F.lit(cap), F.coalesce(retry_after.cast("double"), F.lit(base) * F.pow(F.lit(2.0), attempt - 1)))
+    return F.least(F.lit(cap), F.coalesce(F.when(retry_after.isNotNull(), F.greatest(retry_after.cast("double"), F.lit(0.0))), F.lit(base) * F.pow(F.lit(2.0), attempt - 1)))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = r"(?m)^\f--- page (\d+) ---$"
+# Fixed value: where a sentence ends and the next one begins.
 SENTENCE = r"""(?U)(?<=[.!?])\s+(?=["'(\[]?[A-Z0-9])"""
 
 
@@ -37,6 +37,11 @@ def split_pages(texts: DataFrame) -> DataFrame:
     return parts.filter(number != "").select("document", "seq", number.cast("int").alias("page"), F.regexp_replace("part", r"\A\f--- page \d+ ---", "").alias("text"))
 
 
+def page_map(texts: DataFrame) -> DataFrame:
+    """document, page, text: of pages with one number the last one."""
+    return split_pages(texts).groupBy("document", "page").agg(F.max_by("text", "seq").alias("text"))
+
+
 def segmented(pages: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """pages without the skipped (document, page), with segment: a number that grows where a page was left out."""
     if skipped is None:

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomstack.functions.text import contains_half, held, overlaps, span_on_page, spaced
+from loomstack.functions.text import contains_half, half_held, held, overlaps, span_on_page, spaced
 
 CUTS = (5, 10)
+#: Bytes of quotes that are sent to all tasks at once.
+BLOCK_BYTES = 4 << 20
 KINDS, ROLES = ("single-hop", "multi-hop"), ("answer", "bridge")
 QUOTE_CHARS = (80, 400)
+#: Errors that tell of a source that is not there or not well formed.
+UNREADABLE = ("PATH_NOT_FOUND", "MALFORMED_RECORD", "FAILED_READ_FILE")
+
+
+def met(hits: DataFrame, quotes: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """quotes (qid, quote, ...) with the _rank of every hit that holds half of them.
+
+    hits: (qid, rank, text), each met by the quotes of its query; or (rank, text), each met by all quotes. These are
+    then a stated set, sent to all tasks in blocks of a checked size.
+    """
+    if "qid" in hits.columns:
+        return quotes.join(hits.select("qid", F.col("rank").alias("_rank"), "text"), "qid").filter(contains_half(F.col("text"), F.col("quote"))).drop("text")
+    own, rows = quotes.withColumn("_quote", spaced(F.col("quote"))), hits.select(F.col("rank").alias("_rank"), spaced(F.col("text")).alias("_text"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_bytes))
+    part = lambda i: F.broadcast(own if blocks == 1 else own.filter(F.pmod(F.xxhash64("qid", "quote"), F.lit(blocks)) == i))
+    found = [rows.join(part(i), half_held(F.col("_text"), F.col("_quote"))).select(*quotes.columns, "_rank") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_ranks(hits: DataFrame, quotes: DataFrame) -> DataFrame:
-    """quotes (qid, quote, ...) with rank: the first hit (qid, rank, text) that holds the quote, or null."""
-    own = quotes.withColumn("_q", F.xxhash64(*quotes.columns))
-    met = own.join(hits.select("qid", F.col("rank").alias("_rank"), "text"), "qid").filter(contains_half(F.col("text"), F.col("quote")))
-    best = met.groupBy("_q").agg(F.min("_rank").alias("rank"))
-    return own.join(best, "_q", "left").drop("_q")
+    """quotes (qid, quote, ...), each once, with rank: the first hit that holds the quote, or null. hits: as met() takes them."""
+    best = met(hits, quotes).unionByName(quotes.withColumn("_rank", F.lit(None).cast(hits.schema["rank"].dataType)))
+    return best.groupBy(*quotes.columns).agg(F.min("_rank").alias("rank"))
 
 
 def best_ranks(ranked: DataFrame) -> DataFrame:
@@ -31,11 +55,13 @@ def best_ranks(ranked: DataFrame) -> DataFrame:
 
 
 def attribution(hits: DataFrame, quotes: DataFrame) -> DataFrame:
-    """hits with label: the role of the passage that a hit holds, gold before equivalents, null for none."""
+    """hits with label: the role of the passage that a hit holds, gold before equivalents, null for none.
+
+    Of hits without a qid, that all quotes meet, only the labelled pairs: qid, rank, label.
+    """
     order = F.when(F.col("role") == "answer", 0).when(F.col("role") == "bridge", 1).otherwise(2)
-    met = hits.join(quotes.select("qid", "quote", "role"), "qid").filter(contains_half(F.col("text"), F.col("quote")))
-    label = met.groupBy("qid", "rank").agg(F.min_by("role", order).alias("label"))
-    return hits.join(label, ["qid", "rank"], "left")
+    label = met(hits, quotes.select("qid", "quote", "role")).groupBy("qid", F.col("_rank").alias("rank")).agg(F.min_by("role", order).alias("label"))
+    return hits.join(label, ["qid", "rank"], "left") if "qid" in hits.columns else label
 
 
 def tally(best: DataFrame, groups: DataFrame, cuts: tuple[int, int] = CUTS) -> DataFrame:
@@ -102,8 +128,23 @@ def quote_faults(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return met.select(rule.alias("rule"), "id").filter("rule IS NOT NULL")
 
 
-def equivalent_faults(equivalents: DataFrame, questions: DataFrame, pages: DataFrame, amendment: int = 1) -> DataFrame:
-    """rule, id of equivalents (id, amendment, document, page, quote) of questions (id, gold)."""
+def key_faults(raw: DataFrame, id_col: str, column: str, wanted: StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """rule, id of records whose JSON object in column lacks a wanted key or has another: `missing:key`, `unknown:key`; `no_object` if it is none."""
+    keys = F.json_object_keys(column)
+    names = [f.name for f in wanted.fields]
+    lacking = F.array_except(F.array(*[F.lit(n) for n in names if n not in optional]), keys)
+    rules = F.concat(F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, names)))), lambda k: F.concat(F.lit("unknown:"), k)), F.transform(F.array_sort(lacking), lambda k: F.concat(F.lit("missing:"), k)))
+    return raw.select(F.explode(F.when(keys.isNull(), F.array(F.lit("no_object"))).otherwise(rules)).alias("rule"), F.col(id_col).cast("string").alias("id"))
+
+
+def unlisted_documents(passages: DataFrame, manifest: DataFrame) -> DataFrame:
+    """rule, id of passages (id, document) of documents that the manifest (slug) does not list."""
+    lost = passages.join(manifest.select(F.col("slug").alias("document")).distinct(), "document", "left_anti")
+    return lost.select(F.lit("document_unlisted").alias("rule"), "id")
+
+
+def equivalent_faults(equivalents: DataFrame, questions: DataFrame, pages: DataFrame, amendment: int = 1, manifest: DataFrame | None = None) -> DataFrame:
+    """rule, id of equivalents (id, amendment, document, page, quote) of questions (id, gold); manifest (slug): the documents that may be quoted."""
     gold = questions.select("id", F.explode("gold").alias("g")).select("id", F.col("g.doc").alias("document"), F.col("g.page").alias("page"), F.col("g.quote").alias("gold"))
     wrong = equivalents.filter(F.coalesce(F.col("amendment"), F.lit(-1)) != amendment).select(F.lit("amendment_wrong").alias("rule"), "id")
     unknown = equivalents.join(questions.select("id"), "id", "left_anti").select(F.lit("question_unknown").alias("rule"), "id")
@@ -112,7 +153,8 @@ def equivalent_faults(equivalents: DataFrame, questions: DataFrame, pages: DataF
     restated = near.filter(spaced(F.col("quote")) == spaced(F.col("gold"))).select(F.lit("restates_gold").alias("rule"), "id")
     placed = near.join(pages.select("document", "page", F.col("text").alias("_t")), ["document", "page"]).withColumn("a", span_on_page(F.col("_t"), F.col("quote"))).withColumn("b", span_on_page(F.col("_t"), F.col("gold")))
     over = placed.filter((spaced(F.col("quote")) != spaced(F.col("gold"))) & F.col("a").isNotNull() & F.col("b").isNotNull() & overlaps(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))).select(F.lit("overlaps_gold").alias("rule"), "id")
-    return wrong.union(unknown).union(chars).union(restated).union(over).union(quote_faults(equivalents.select("id", "document", "page", "quote"), pages))
+    listed = unlisted_documents(equivalents, manifest) if manifest is not None else wrong.limit(0)
+    return wrong.union(unknown).union(chars).union(restated).union(over).union(listed).union(quote_faults(equivalents.select("id", "document", "page", "quote"), pages))
 
 
 def span_overlaps(spans: DataFrame) -> DataFrame:
@@ -134,9 +176,22 @@ def group_faults(questions: DataFrame, groups: DataFrame, labels: tuple[str, ...
     return both.select(rule.alias("rule"), "id").filter("rule IS NOT NULL")
 
 
-def verdict(violations: DataFrame) -> int:
-    """0 if nothing is broken, else 1."""
-    return int(not violations.isEmpty())
+def verdict(faults: Callable[[], DataFrame], then: Callable[[], DataFrame] | None = None) -> tuple[int, DataFrame | None]:
+    """0 if nothing is broken, 1 if something is, 2 if the sources cannot be read; and what is broken.
+
+    then: checks that are stated against sources without faults, such as those of equivalents; skipped if there are any.
+    """
+    for check in filter(None, (faults, then)):
+        try:
+            found = check()
+            broken = not found.isEmpty()
+        except (PySparkException, Py4JJavaError) as problem:
+            if not any(sign in str(problem) for sign in UNREADABLE):
+                raise
+            return 2, None
+        if broken:
+            return 1, found
+    return 0, None
 
 
 def last_rows(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:

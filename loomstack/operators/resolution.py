@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from loomstack.functions.text import document_of, mergeable, name_key, slug, snake
+from loomstack.functions.text import casefold, document_of, mergeable, name_key, slug, snake, stripped
 from loomstack.operators.graph import components
 from loomstack.shared import written
 
@@ -21,13 +22,8 @@ ENTITY_TYPES = ("organisation", "person", "board", "mission", "spacecraft", "sub
 DESCRIPTION_CHARS = 300
 
 
-@F.pandas_udf(StringType())
-def _casefold(text):
-    return text.map(lambda t: None if t is None else t.casefold())
-
-
 def _trimmed(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit(""))
+    return F.coalesce(stripped(c), F.lit(""))
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -35,6 +31,12 @@ def usable(records: DataFrame) -> DataFrame:
     return records.filter(F.coalesce("status", F.lit("ok")) != "failed")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _same(fold: pd.Series, names: pd.Series) -> pd.Series:
+    """Of a list of names those that are the folded one, case aside."""
+    return pd.Series([[n for n in own if n is not None and n.casefold() == f] for f, own in zip(fold, names, strict=True)])
+
+
 def repaired_entities(records: DataFrame) -> DataFrame:
     """chunk, pos, name, type, description, aliases, fold, fault: one row per listed entity; fault is null for those kept.
 
@@ -43,13 +45,13 @@ def repaired_entities(records: DataFrame) -> DataFrame:
     """
     listed = usable(records).select("chunk", F.posexplode("extraction.entities").alias("pos", "e"))
     named = listed.select(
-        "chunk", "pos", _trimmed(F.col("e.name")).alias("name"), _casefold(_trimmed(F.col("e.type"))).alias("kind"),
+        "chunk", "pos", _trimmed(F.col("e.name")).alias("name"), casefold(_trimmed(F.col("e.type"))).alias("kind"),
         _trimmed(F.col("e.description")).alias("description"), F.coalesce(F.col("e.aliases"), F.array().cast("array<string>")).alias("raw"),
-    ).withColumn("fold", _casefold("name"))
+    ).withColumn("fold", casefold("name")).withColumn("same", _same(F.col("fold"), F.transform("raw", stripped)))
     nth = F.row_number().over(Window.partitionBy("chunk", "fold").orderBy("pos"))
     known = F.col("kind").isin(*ENTITY_TYPES)
     fault = F.when(F.col("name") == "", "dropped").when(nth > 1, "duplicate")
-    aliases = F.array_sort(F.array_distinct(F.filter(F.transform("raw", lambda a: F.trim(a)), lambda a: a.isNotNull() & (a != "") & (F.lower(a) != F.lower("name")))))
+    aliases = F.array_sort(F.array_distinct(F.filter(F.transform("raw", stripped), lambda a: a.isNotNull() & (a != "") & ~F.array_contains("same", a))))
     return named.withColumn("fault", fault).select(
         "chunk", "pos", "name", "fold", "description", F.when(known, F.col("kind")).otherwise("other").alias("type"), aliases.alias("aliases"), (~known & F.col("fault").isNull()).alias("retyped"), "fault",
     )
@@ -59,7 +61,7 @@ def repaired_relations(records: DataFrame, entities: DataFrame) -> DataFrame:
     """chunk, pos, source, target, relation, evidence, fault: endpoints in the casing that the chunk's entities have."""
     declared = entities.filter("fault IS NULL").select("chunk", "fold", "name")
     listed = usable(records).select("chunk", F.posexplode("extraction.relations").alias("pos", "r"))
-    listed = listed.select("chunk", "pos", _casefold(_trimmed(F.col("r.source"))).alias("s"), _casefold(_trimmed(F.col("r.target"))).alias("t"), snake(F.coalesce("r.relation", F.lit(""))).alias("relation"), _trimmed(F.col("r.evidence")).alias("evidence"))
+    listed = listed.select("chunk", "pos", casefold(_trimmed(F.col("r.source"))).alias("s"), casefold(_trimmed(F.col("r.target"))).alias("t"), snake(F.coalesce("r.relation", F.lit(""))).alias("relation"), _trimmed(F.col("r.evidence")).alias("evidence"))
     ends = listed.join(declared.select("chunk", F.col("fold").alias("s"), F.col("name").alias("source")), ["chunk", "s"], "left").join(
         declared.select("chunk", F.col("fold").alias("t"), F.col("name").alias("target")), ["chunk", "t"], "left"
     )
@@ -154,6 +156,11 @@ def build(records: DataFrame) -> Graph:
     return Graph(nodes, edges, node_chunks, ends.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
 
 
+def provenance(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """edges with the text of the chunk (id, text) that each came from; an edge whose chunk is not there falls away."""
+    return edges.join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
+
+
 def types_summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstack.functions import answers
 from loomstack.functions import text as X
-from loomstack.operators import chunking, evaluation, extraction, graph, resolution, retrieval, vector
+from loomstack.operators import chunking, embedding, evaluation, extraction, graph, resolution, retrieval, vector
 from loomstack.plans import tables as T
 from loomstack.shared import shared_dir
 from loomstack.sources import readers, sinks
@@ -31,15 +33,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # vector search and retrieval
 
 
-@query(f"WITH r AS ({T.RANKED}) SELECT qid, rank, id, score FROM r WHERE rank <= 10")
+@query(f"WITH r AS ({T.RANKED}) SELECT qid, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def vector_top_k(spark, d):
-    return vector.top_k(T.vectors(spark, d), T.vector_queries(spark, d), 10)
+    return vector.top_k(T.vectors(spark, d), T.vector_queries(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH r AS ({T.RANKED}) SELECT qid, rank, id AS chunk_id, 'label' || label AS document, (vec_id % 37)::INT AS page_start, (vec_id % 37 + 1)::INT AS page_end, score, 'text ' || id AS text FROM r WHERE rank <= 10")
+@query(f"WITH r AS ({T.RANKED}) SELECT qid, rank, id AS chunk_id, 'label' || label AS document, (vec_id % 37)::INT AS page_start, (vec_id % 37 + 1)::INT AS page_end, round(score, 6) AS score, 'text ' || id AS text FROM r WHERE rank <= 10")
 def retrieve_vector(spark, d):
     chunks, _, _ = T.vector_graph(spark, d)
-    return retrieval.retrieve(T.vector_queries(spark, d), T.vectors(spark, d), chunks, 10)
+    return retrieval.retrieve(T.vector_queries(spark, d), T.vectors(spark, d), chunks, 10).withColumn("score", F.round("score", 6))
 
 
 def _arm_sql(hops: int, walked: bool = True) -> str:
@@ -89,11 +91,11 @@ def candidate_pool(spark, d):
     return spark.range(1, 51).select(F.col("id").cast("int").alias("k"), retrieval.pool_size(F.col("id")).cast("int").alias("pool"))
 
 
-@query("SELECT o_orderkey AS order_key, l_linenumber AS line, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS chunk_id, l_linenumber AS page_start, l_partkey AS document FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def orphan_drop(spark, d):
-    matches = T.load(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("order_key"))
-    rows = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
-    return matches.join(rows, "order_key")
+    """Orders as matches, order lines as chunks: an order without a line falls away."""
+    line = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("document"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"), F.lit("").alias("text"))
+    return retrieval.with_chunks(T.load(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id")), line).select("chunk_id", "page_start", "document")
 
 
 @query("SELECT o_orderkey AS order_key FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -160,11 +162,10 @@ def top_degrees(spark, d):
     return graph.top_degrees(T.order_node_chunks(spark, d).select("node_id").distinct(), T.order_edges(spark, d))
 
 
-@query("SELECT 'p' || p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 0)")
+@query("SELECT 'o' || o_orderkey AS node_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def isolated_nodes(spark, d):
-    lines = T.load(spark, d, "lineitem").filter("l_orderkey % 3 = 0")
-    edges = lines.select(F.format_string("p%d", "l_partkey").alias("source"), F.format_string("s%d", "l_suppkey").alias("target"))
-    return graph.isolated(T.load(spark, d, "part").select(F.format_string("p%d", "p_partkey").alias("node_id")), edges)
+    edges = T.load(spark, d, "lineitem").select(F.format_string("o%d", "l_orderkey").alias("source"), F.format_string("p%d", "l_partkey").alias("target"))
+    return graph.isolated(T.load(spark, d, "orders").select(F.format_string("o%d", "o_orderkey").alias("node_id")), edges)
 
 
 @query(f"SELECT node_id, count(DISTINCT split_part(chunk_id, ':', 1)) AS documents FROM ({T.NODE_CHUNKS}) GROUP BY ALL HAVING documents > 1")
@@ -172,13 +173,15 @@ def cross_document_nodes(spark, d):
     return graph.cross_document(T.order_node_chunks(spark, d), X.document_of(F.col("chunk_id")))
 
 
-@query("""WITH RECURSIVE pair AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_orderkey % 50 = 0 AND l_quantity > 40),
-    both_ways AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach(k, r) AS (SELECT a, a FROM both_ways UNION SELECT both_ways.b, r FROM reach JOIN both_ways ON a = k)
-    SELECT k AS key, min(r) AS root FROM reach GROUP BY k""")
+#: The least key next to each key, round after round; in these tables it settles long before the last.
+_LABELS = ", ".join(f"l{i} AS MATERIALIZED (SELECT e.a AS k, least(min(n.r), min(o.r)) AS r FROM both_ways e JOIN l{i - 1} n ON n.k = e.b JOIN l{i - 1} o ON o.k = e.a GROUP BY e.a)" for i in range(1, 9))
+
+
+@query(f"""WITH both_ways AS MATERIALIZED (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+    l0 AS MATERIALIZED (SELECT DISTINCT a AS k, a AS r FROM both_ways), {_LABELS} SELECT k AS key, r AS root FROM l8""")
 def components(spark, d):
-    lines = T.load(spark, d, "lineitem").filter("l_orderkey % 50 = 0 AND l_quantity > 40")
-    pairs = lines.select(F.format_string("p%d", "l_partkey").alias("a"), F.format_string("s%d", "l_suppkey").alias("b"))
-    return graph.components(pairs.select(F.col("a").alias("key")).limit(0), pairs)
+    pairs = T.load(spark, d, "lineitem").select(F.format_string("p%d", "l_partkey").alias("a"), F.format_string("s%d", "l_suppkey").alias("b"))
+    return graph.components(pairs.select(F.col("a").alias("key")), pairs)
 
 
 @query(f"SELECT DISTINCT source, target, relation, chunk_id, substr(sha256(source || '|' || target || '|' || relation || '|' || chunk_id), 1, 16) AS id FROM ({T.EDGES})")
@@ -192,11 +195,9 @@ def node_chunks(spark, d):
     return T.order_node_chunks(spark, d)
 
 
-@query(f"SELECT source, target, chunk_id, o_orderpriority AS text FROM ({T.EDGES}) JOIN orders ON o_orderkey = split_part(chunk_id, ':', 2)::BIGINT WHERE o_orderkey % 5 = 0")
+@query(f"SELECT source, target, chunk_id, o_orderpriority AS text FROM ({T.EDGES}) JOIN orders ON o_orderkey = split_part(chunk_id, ':', 2)::BIGINT")
 def edge_provenance(spark, d):
-    chunks = T.load(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("text"))
-    edges = T.order_edges(spark, d).withColumn("key", F.substring_index("chunk_id", ":", -1).cast("long"))
-    return edges.join(chunks, "key").select("source", "target", "chunk_id", "text")
+    return resolution.provenance(T.order_edges(spark, d), T.order_chunks(spark, d)).select("source", "target", "chunk_id", "text")
 
 
 @query(f"SELECT split_part(chunk_id, ':', 1) AS document, count(*) AS n FROM ({T.NODE_CHUNKS}) GROUP BY ALL")
@@ -233,10 +234,18 @@ _NODES = f"""{_KEPT}, said AS (SELECT *, CASE WHEN name LIKE 'Part%' THEN lower(
         FROM said JOIN names ON names.grp = said.grp AND names.k = 1 JOIN types ON types.grp = said.grp AND types.k = 1 LEFT JOIN texts ON texts.grp = said.grp AND texts.k = 1 GROUP BY said.grp)"""
 
 
-@query(f"{_NODES} SELECT lower(replace(name, ' ', '-')) AS id, name, type, description, mentions, chunks, documents FROM node")
+@query(f"""{_NODES}, surface AS (SELECT grp, name AS s FROM said UNION SELECT grp, unnest(aliases) FROM said),
+    other AS (SELECT surface.grp, string_agg(s, '|' ORDER BY s) AS aliases FROM surface JOIN node ON node.grp = surface.grp AND s <> node.name GROUP BY surface.grp),
+    place AS (SELECT grp, string_agg(doc, '|' ORDER BY doc) AS documents FROM (SELECT DISTINCT grp, split_part(chunk, ':', 1) AS doc FROM said) GROUP BY grp)
+    SELECT lower(replace(name, ' ', '-')) AS id, name, type, description, mentions, chunks, place.documents, coalesce(other.aliases, '') AS aliases FROM node JOIN place USING (grp) LEFT JOIN other USING (grp)""")
 def resolved_nodes(spark, d):
     nodes = resolution.build(T.records(spark, d)).nodes
-    return nodes.select("id", "name", "type", "description", "mentions", F.size("chunks").cast("long").alias("chunks"), F.size("documents").cast("long").alias("documents"))
+    return nodes.select("id", "name", "type", "description", "mentions", F.size("chunks").cast("long").alias("chunks"), F.array_join("documents", "|").alias("documents"), F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"{_NODES} SELECT DISTINCT lower(replace(node.name, ' ', '-')) AS node_id, chunk AS chunk_id FROM said JOIN node USING (grp)")
+def resolved_node_chunks(spark, d):
+    return resolution.build(T.records(spark, d)).node_chunks
 
 
 @query(f"""{_NODES}, ids AS (SELECT grp, lower(replace(name, ' ', '-')) AS id FROM node),
@@ -252,7 +261,7 @@ def nodes_by_type(spark, d):
     return resolution.types_summary(resolution.build(T.records(spark, d)).nodes)
 
 
-@query("SELECT CASE WHEN l_orderkey % 35 = 0 THEN 'failed' ELSE 'ok' END AS status, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1")
+@query("SELECT CASE WHEN l_orderkey % 35 = 0 THEN 'failed' ELSE 'ok' END AS status, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
 def record_statuses(spark, d):
     return resolution.record_counts(T.records(spark, d))
 
@@ -272,15 +281,19 @@ def sorted_sets(spark, d):
     return T.load(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("types"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS key, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS snake FROM part")
+_NAMED = [(-1, "The Café-Noir, Inc.", "cafe noir", "the_caf_noir_inc"), (-2, "Straße / Ægir", "strasse ægir", "strasse_gir"), (-3, "ＮＡＳＡ №5", "nasa no5", "5"), (-4, "\u212bngström_Ltd", "angstrom", "ngstr_m_ltd")]
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS key, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS snake FROM part UNION ALL VALUES " + ", ".join(f"({n}, '{k}', '{s}')" for n, _, k, s in _NAMED))
 def name_keys(spark, d):
-    return T.load(spark, d, "part").select("p_partkey", X.name_key("p_name").alias("key"), X.snake(F.col("p_type")).alias("snake"))
+    """Part names, and some that need folding with the keys that they must have."""
+    names = T.load(spark, d, "part").select("p_partkey", "p_name").unionByName(spark.createDataFrame([r[:2] for r in _NAMED], "p_partkey long, p_name string"))
+    return names.select("p_partkey", X.name_key("p_name").alias("key"), X.snake(F.col("p_name")).alias("snake"))
 
 
-@query("SELECT root, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS node_id FROM (SELECT p_partkey AS root, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 20 = 0 AND p_brand LIKE '%1')")
+@query("SELECT root, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS node_id FROM (SELECT p_partkey AS root, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') ORDER BY p_partkey) AS n FROM part)")
 def unique_slugs(spark, d):
-    parts = T.load(spark, d, "part").filter("p_partkey % 20 = 0 AND p_brand LIKE '%1'")
-    return resolution.unique_ids(parts.select(F.col("p_partkey").alias("root"), F.col("p_brand").alias("name")))
+    return resolution.unique_ids(T.load(spark, d, "part").select(F.col("p_partkey").alias("root"), F.col("p_brand").alias("name")))
 
 
 @query("SELECT word, length(word) > 2 AND word NOT IN ('board', 'project', 'team', 'report', 'system', 'lab') AND NOT regexp_full_match(word, '[0-9]+') AS fine FROM (SELECT unnest(['board', 'ab', '123', 'mars lander', 'team', 'é9x', 'lab', 'x1z']) AS word UNION ALL SELECT DISTINCT lower(n_name) FROM nation)")
@@ -309,11 +322,11 @@ def resume_todo(spark, d):
     return readers.todo(T.load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id")), log, retry=("click",))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name FROM customer UNION ALL SELECT 1000000 + n_nationkey, n_name FROM nation")
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def upsert(spark, d):
-    old = T.load(spark, d, "customer").select("c_custkey", "c_name")
-    new = old.filter("c_custkey % 3 = 0").withColumn("c_name", F.upper("c_name")).unionByName(T.load(spark, d, "nation").select((F.col("n_nationkey") + 1000000).cast("long").alias("c_custkey"), F.col("n_name").alias("c_name")))
-    return sinks.upserted(old, new, "c_custkey")
+    """Customers' segments, replaced by the last of their events."""
+    old = T.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("last"))
+    return sinks.upserted(old, T.load(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("last"), "event_id"), "id", seq="event_id")
 
 
 @query("SELECT 'order' AS rule, l_orderkey::VARCHAR AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 <> 1) GROUP BY ALL")
@@ -338,14 +351,47 @@ def file_digests(spark, d):
     return readers.digests(spark, f"{d}/region.parquet")
 
 
-@query()
+_SPANNED = f"SELECT document || ':' || ((page - 1) // 2) AS chunk_id, document, min(page) AS page_start, max(page) AS page_end, string_agg(text, chr(10) ORDER BY page) AS text FROM ({T.PAGES}) GROUP BY document, (page - 1) // 2"
+
+
+@query(f"SELECT chunk_id AS id, document, page_start, page_end, (page_start // 2)::INT AS ordinal, text FROM ({_SPANNED})")
 def json_round_trip(spark, d):
-    path = f"{shared_dir(spark)}/chunks-json"
-    chunks = chunking.chunk(T.conversation_pages(spark, d).withColumn("seq", F.col("page")).select("document", "seq", "page", "text"))
-    sinks.sorted_lines(chunks, path, "id")
+    path = f"{shared_dir(spark)}/chunks-json-{uuid.uuid4().hex}"
+    sinks.sorted_lines(_spanned(spark, d).withColumn("ordinal", F.floor(F.col("page_start") / 2).cast("int")), path, "id")
     return readers.json_lines(spark, path, readers.CHUNK)
 
 
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, 'k' AS sole, event_type AS model FROM events")
+def answer_fields(spark, d):
+    """Counters, the one model and a tool's input, picked from answers as JSON."""
+    events = T.load(spark, d, "events")
+    answer = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("input")), F.struct(F.lit("tool_use").alias("type"), F.lit("record").alias("name"), F.col("props").alias("input"))).alias("content"), F.create_map("event_type", F.lit(1)).alias("modelUsage")))
+    own = events.select("event_id", answer.alias("answer")).withColumn("own", answers.call_input(F.col("answer"), "record"))
+    return own.select("event_id", answers.counters(F.col("own"))["k"].alias("k"), answers.sole_key(F.col("own"), "$").alias("sole"), answers.sole_key(F.col("answer"), "$.modelUsage").alias("model"))
+
+
+@query("SELECT doc_id AS id, array_to_string(list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: length(coalesce(text, '')) - length(replace(coalesce(text, ''), c, ''))), ' ') AS counts FROM documents")
+def bulk_embeddings(spark, d):
+    """Every document embedded in batches; the second run over one cache embeds nothing anew."""
+    chunks, path = T.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), f"{shared_dir(spark)}/embeddings-{uuid.uuid4().hex}"
+    embedding.embed_all(chunks, embedding.LetterCounts(), path)
+    found = embedding.embed_all(chunks, embedding.LetterCounts(), path)
+    return found.select(F.col("id").cast("long").alias("id"), F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), " ").alias("counts"))
+
+
+_COUNTS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE)"
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, {_COUNTS} AS v FROM benchmark WHERE item_id % 20 = 0), e AS (SELECT doc_id, {_COUNTS} AS v FROM documents WHERE regexp_matches(text, '[a-z]')),
+    s AS (SELECT qid, doc_id, list_cosine_similarity(q.v, e.v) AS score FROM q, e)
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def text_search(spark, d):
+    """Benchmark items as questions in words, embedded and searched for among all documents."""
+    items = T.load(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
+    vectors = embedding.embed(T.load(spark, d, "documents"), embedding.LetterCounts(), "doc_id", vector="embedding")
+    return vector.top_k(vectors, retrieval.asked(items, embedding.LetterCounts()), 10, "doc_id").select("qid", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT 1 AS id, '{\"a\": \"x // y\",  \"b\": 2}' AS json")
 def comments_stripped(spark, d):
     raw = '{"a": "x // y", /* no */ "b": 2}// end'
@@ -366,10 +412,10 @@ def segments(spark, d):
     return chunking.segmented(pages, pages.filter("page % 3 = 0").select("document", "page")).select("document", "page", "segment")
 
 
-@query("SELECT doc_id, (1 + len(regexp_extract_all(trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')), '[.!?]\\s+[\"''(\\[]?[A-Z0-9]')))::INT AS sentences FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, (1 + len(regexp_extract_all(trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')), '[.!?]\\s+[\"''(\\[]?[A-Z0-9]')))::INT AS sentences FROM documents")
 def sentence_counts(spark, d):
     line = F.trim(F.regexp_replace("text", r"\s*\n\s*", " "))
-    return T.load(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", F.size(F.split(line, chunking.SENTENCE)).alias("sentences"))
+    return T.load(spark, d, "documents").select("doc_id", F.size(F.split(line, chunking.SENTENCE)).alias("sentences"))
 
 
 @query()
@@ -386,7 +432,7 @@ def size_report(spark, d):
 # scoring and validation
 
 _HALF = "(length(q) > 0 AND (contains(t, q) OR len(list_filter(range(1, (length(q) - ceil(length(q) / 2.0) + 2)::BIGINT), lambda i: contains(t, substr(q, i, ceil(length(q) / 2.0)::BIGINT)))) > 0))"
-_MET = f"""WITH met AS (SELECT item_id AS qid, doc_id AS rank, b.item_id % 3 AS kind, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) AS q, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS t FROM benchmark b JOIN documents d ON d.doc_id % 5 = b.item_id % 5),
+_MET = f"""WITH met AS (SELECT item_id AS qid, doc_id AS rank, b.item_id % 3 AS kind, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) AS q, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS t FROM benchmark b, documents d),
     best AS (SELECT qid, kind, min(CASE WHEN {_HALF} THEN rank END) AS rank FROM met GROUP BY ALL)"""
 
 
@@ -395,9 +441,8 @@ def _quotes(spark, d):
 
 
 def _hits(spark, d):
-    """Every document as a hit of the items whose id leaves the same rest by 5, ranked by its id."""
-    docs = T.load(spark, d, "documents").select((F.col("doc_id") % 5).alias("r"), F.col("doc_id").alias("rank"), "text")
-    return _quotes(spark, d).select("qid", (F.col("qid") % 5).alias("r")).join(docs, "r").select("qid", "rank", "text")
+    """Every document as a hit of every item, ranked by its id."""
+    return T.load(spark, d, "documents").select(F.col("doc_id").alias("rank"), "text")
 
 
 @query(f"{_MET} SELECT qid, CASE WHEN kind = 0 THEN rank END AS strict, CASE WHEN kind < 2 THEN rank END AS amended FROM best")
@@ -416,10 +461,12 @@ def recall_tally(spark, d):
 
 @query(f"{_MET} SELECT qid, rank, CASE kind WHEN 0 THEN 'answer' WHEN 1 THEN 'equivalent' ELSE 'bridge' END AS label FROM met WHERE {_HALF}")
 def hit_labels(spark, d):
-    return evaluation.attribution(_hits(spark, d), _quotes(spark, d)).filter("label IS NOT NULL").select("qid", "rank", "label")
+    return evaluation.attribution(_hits(spark, d), _quotes(spark, d)).select("qid", "rank", "label")
 
 
-_SPANNED = f"SELECT document || ':' || ((page - 1) // 2) AS chunk_id, document, min(page) AS page_start, max(page) AS page_end FROM ({T.PAGES}) GROUP BY document, (page - 1) // 2"
+def _passages(spark, d):
+    """Every page as a passage to be found."""
+    return T.conversation_pages(spark, d).select(F.format_string("%s#%d", "document", "page").alias("pid"), "document", "page", F.col("text").alias("quote"))
 
 
 def _spanned(spark, d):
@@ -431,14 +478,12 @@ def _spanned(spark, d):
 
 @query(f"SELECT document || '#' || page AS pid, chunk_id FROM ({T.PAGES}) p JOIN ({_SPANNED}) c USING (document) WHERE page BETWEEN page_start AND page_end")
 def page_spans(spark, d):
-    passages = T.conversation_pages(spark, d).select(F.format_string("%s#%d", "document", "page").alias("pid"), "document", "page", F.substring("text", 1, 120).alias("quote"))
-    return evaluation.on_page(_spanned(spark, d), passages).select("pid", "chunk_id")
+    return evaluation.on_page(_spanned(spark, d), _passages(spark, d)).select("pid", "chunk_id")
 
 
-@query(f"SELECT document || '#' || page AS pid, length(trim(regexp_replace(substr(text, 1, 120), '\\s+', ' ', 'g'))) > 0 AS covered FROM ({T.PAGES})")
+@query(f"SELECT document || '#' || page AS pid, n > 0 AS covered, (n > 0)::INT::DOUBLE AS best_held, document || ':' || ((page - 1) // 2) AS best_chunk FROM (SELECT *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM ({T.PAGES}))")
 def passage_coverage(spark, d):
-    passages = T.conversation_pages(spark, d).select(F.format_string("%s#%d", "document", "page").alias("pid"), "document", "page", F.substring("text", 1, 120).alias("quote"))
-    return evaluation.coverage(_spanned(spark, d), passages).select("pid", "covered")
+    return evaluation.coverage(_spanned(spark, d), _passages(spark, d))
 
 
 @query()
@@ -505,12 +550,13 @@ def group_faults(spark, d):
 # extraction runtime and small functions
 
 
-@query("SELECT 'conv' || conv_id || ':' || (min(turn) // 2) AS id, 'conv' || conv_id || ', ' || CASE WHEN count(*) = 1 THEN 'page ' || (min(turn) + 1) ELSE 'pages ' || (min(turn) + 1) || '-' || (max(turn) + 1) END || chr(10) || chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id, turn // 2")
+@query("SELECT 'conv' || conv_id || ':' || (min(turn) // 2) AS id, CASE WHEN conv_id % 2 = 0 THEN 'Talk ' ELSE 'conv' END || conv_id || ', ' || CASE WHEN count(*) = 1 THEN 'page ' || (min(turn) + 1) ELSE 'pages ' || (min(turn) + 1) || '-' || (max(turn) + 1) END || chr(10) || chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id, turn // 2")
 def extraction_prompts(spark, d):
-    return extraction.prompts(_spanned(spark, d), spark.createDataFrame([], "slug string, title string"))
+    titles = T.load(spark, d, "conversations").filter("conv_id % 2 = 0").select(F.format_string("conv%d", "conv_id").alias("slug"), F.format_string("Talk %d", "conv_id").alias("title")).distinct()
+    return extraction.prompts(_spanned(spark, d), titles)
 
 
-@query("SELECT counter, sum(v)::BIGINT AS n FROM (SELECT 'status.dry-run' AS counter, 1 AS v FROM (SELECT DISTINCT conv_id, turn // 2 FROM conversations) UNION ALL SELECT 'usage.prompt_chars', length('conv' || conv_id || ', ' || CASE WHEN count(*) = 1 THEN 'page ' || (min(turn) + 1) ELSE 'pages ' || (min(turn) + 1) || '-' || (max(turn) + 1) END) + 2 + length(string_agg(coalesce(text, ''), chr(10))) FROM conversations GROUP BY conv_id, turn // 2) GROUP BY counter")
+@query("SELECT counter, sum(v)::BIGINT AS n FROM (SELECT 'status.dry-run' AS counter, 1 AS v FROM (SELECT DISTINCT conv_id, turn // 2 FROM conversations) UNION ALL SELECT 'usage.prompt_chars', length(CASE WHEN conv_id % 2 = 0 THEN 'Talk ' ELSE 'conv' END || conv_id || ', ' || CASE WHEN count(*) = 1 THEN 'page ' || (min(turn) + 1) ELSE 'pages ' || (min(turn) + 1) || '-' || (max(turn) + 1) END) + 2 + length(string_agg(coalesce(text, ''), chr(10))) FROM conversations GROUP BY conv_id, turn // 2) GROUP BY counter")
 def extraction_dry_run(spark, d):
     return extraction.run_counters(extraction.extract(extraction_prompts(spark, d), extraction.DryRun()))
 
@@ -521,9 +567,9 @@ def retry_waits(spark, d):
     return spark.range(1, 9).select(i.alias("attempt"), X.backoff(i, F.lit(None)).alias("wait"), X.backoff(i, F.lit(7)).alias("asked"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)(bearer\\s+|token[=:]\\s*|key[=:]\\s*)[A-Za-z0-9._-]{8,}', '\\1***', 'g') AS text FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, regexp_replace(text, '(?i)(bearer\\s+|token[=:]\\s*|key[=:]\\s*)[A-Za-z0-9._-]{8,}', '\\1***', 'g') AS text FROM documents")
 def masked_secrets(spark, d):
-    return T.load(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", X.masked(F.col("text")).alias("text"))
+    return T.load(spark, d, "documents").select("doc_id", X.masked(F.col("text")).alias("text"))
 
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nation', count(*) FROM nation")

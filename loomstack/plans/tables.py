@@ -27,6 +27,12 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = f"SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, l_returnflag AS relation, {ORDER_CHUNK} AS chunk_id FROM lineitem"
 
 
+def order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: the chunks of order lines, with their order's priority as text."""
+    chunks = load(spark, sf_dir, "lineitem").select(order_chunk().alias("id"), F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return chunks.join(load(spark, sf_dir, "orders"), "o_orderkey").select("id", F.col("o_orderpriority").alias("text"))
+
+
 def order_node_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.explode(F.array("source", "target")).alias("node_id")
     return order_edges(spark, sf_dir).select(ends, "chunk_id").distinct()
@@ -57,7 +63,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").filter("vec_id < 24").select(F.col("vec_id").alias("qid"), "embedding")
+    """Every vector whose id is divisible by 20."""
+    return load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def vector_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,9 +78,9 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 #: (qid, rank, id, score) of every query against all vectors, as a CTE body.
 RANKED = """
-SELECT q.vec_id AS qid, 'v' || lpad(e.vec_id::VARCHAR, 5, '0') AS id, e.vec_id, e.label, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
-       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INT AS rank
-FROM embeddings q, embeddings e WHERE q.vec_id < 24"""
+SELECT q.vec_id AS qid, 'v' || lpad(e.vec_id::VARCHAR, 5, '0') AS id, e.vec_id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0"""
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +98,8 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extraction records, one for each order with a key divisible by 7: its lines' parts and suppliers, with planted faults."""
-    lines = load(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0")
+    """Extraction records, one for each order: its lines' parts and suppliers, with planted faults."""
+    lines = load(spark, sf_dir, "lineitem")
     part, supplier = F.format_string("Part %d", "l_partkey"), F.format_string("Supplier %d", "l_suppkey")
     kind = F.when(F.col("l_linenumber") == 2, "Alien").otherwise("Spacecraft")
     entity = lambda name, kind, text, *aliases: F.struct(name.alias("name"), kind.alias("type"), text.alias("description"), F.array(*aliases).alias("aliases"))
@@ -103,7 +110,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.format_string("o%d:%d", F.pmod("l_orderkey", F.lit(9)), "l_orderkey").alias("chunk"), F.when(F.col("l_orderkey") % 35 == 0, "failed").when(F.col("l_orderkey") % 2 == 0, "ok").alias("status"), F.struct("entities", "relations").alias("extraction"))
 
 
-RECORD_LINES = "SELECT *, 'o' || (l_orderkey % 9) || ':' || l_orderkey AS chunk FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey % 35 <> 0"
+RECORD_LINES = "SELECT *, 'o' || (l_orderkey % 9) || ':' || l_orderkey AS chunk FROM lineitem WHERE l_orderkey % 35 <> 0"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

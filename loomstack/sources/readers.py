@@ -14,6 +14,7 @@ ENTITY = "struct<name:string,type:string,description:string,aliases:array<string
 RELATION = "struct<source:string,target:string,relation:string,evidence:string>"
 EXTRACTION = f"chunk string, model string, backend string, status string, stop_reason string, extraction struct<entities:array<{ENTITY}>,relations:array<{RELATION}>>, usage map<string,long>, repairs map<string,long>, error string, seq long"
 MANIFEST = "documents array<struct<slug:string,title:string,source_url:string,sha256:string,page_count:int,char_count:long>>"
+EQUIVALENTS = "amendment int, passages map<string,array<struct<doc:string,page:int,quote:string>>>"
 QUESTION = "id string, kind string, question string, answer string, hops string, gold array<struct<doc:string,page:int,role:string,quote:string>>"
 
 
@@ -33,6 +34,16 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.explode("documents").alias("d")).select("d.*")
 
 
+def equivalents(spark: SparkSession, path: str) -> DataFrame:
+    """id, amendment, document, page, quote of a file of equivalents; none if there is no file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "id string, amendment int, document string, page int, quote string")
+    found = spark.read.schema(EQUIVALENTS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = found.select("amendment", F.explode("passages").alias("id", "own")).select("id", "amendment", F.explode("own").alias("p"))
+    return rows.select("id", "amendment", F.col("p.doc").alias("document"), "p.page", "p.quote")
+
+
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """document (the file's name without ending) and whole text."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)

@@ -7,24 +7,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstack.operators.vector import checked
 
-def upserted(old: DataFrame | None, new: DataFrame, *keys: str) -> DataFrame:
-    """old rows with new ones in their place; of new rows with one key any one stays, the greatest by its columns."""
-    order = F.struct(*[F.col(c) for c in new.columns if c not in keys])
-    fresh = new.groupBy(*keys).agg(F.max(order).alias("_r")).select(*keys, "_r.*").select(new.columns)
-    return fresh if old is None else old.join(fresh, list(keys), "left_anti").select(new.columns).unionByName(fresh)
+
+def upserted(old: DataFrame | None, new: DataFrame, *keys: str, seq: str | None = None) -> DataFrame:
+    """old rows with new ones in their place; of new rows with one key the last by the column seq, which is left out.
+
+    Rows have no order of their own: without seq, or where it ties, the one whose JSON is greatest stays.
+    """
+    columns = [c for c in new.columns if c != seq]
+    row = F.struct(*columns)
+    fresh = new.groupBy(*keys).agg(F.max_by(row, F.struct(*([seq] if seq else []), F.to_json(row))).alias("_r")).select("_r.*")
+    return fresh if old is None else old.join(fresh, list(keys), "left_anti").select(columns).unionByName(fresh)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """A new version of a table written beside the old one, which then takes its place: never half a table, for a moment none."""
-    spark = df.sparkSession
+    """A new version of a table written beside the old one, which then takes its place.
+
+    The old version is put aside first and deleted last, so a crash at any point loses no table: recover() puts it back.
+    """
     part = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(part)
-    fs, old, new = _paths(spark, path, part)
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
+    recover(df.sparkSession, path)
+    fs, now, new, aside = _paths(df.sparkSession, path, part, f"{path}.aside")
+    if fs.exists(now) and not fs.rename(now, aside):
+        raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, now):
         raise OSError(f"{part} could not become {path}")
+    if fs.exists(aside):
+        fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash of replace(): the old version back in its place if there is no new one, else gone."""
+    fs, now, aside = _paths(spark, path, f"{path}.aside")
+    if fs.exists(aside):
+        if fs.exists(now):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, now):
+            raise OSError(f"{path} could not be put back")
 
 
 def _paths(spark: SparkSession, *paths: str):
@@ -33,10 +54,11 @@ def _paths(spark: SparkSession, *paths: str):
     return (made[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *made)
 
 
-def upsert(df: DataFrame, path: str, *keys: str) -> None:
+def upsert(df: DataFrame, path: str, *keys: str, seq: str | None = None) -> None:
     spark = df.sparkSession
+    recover(spark, path)
     fs, at = _paths(spark, path)
-    replace(upserted(spark.read.parquet(path) if fs.exists(at) else None, df, *keys), path)
+    replace(upserted(spark.read.parquet(path) if fs.exists(at) else None, df, *keys, seq=seq), path)
 
 
 def replace_graph(graph, path: str) -> None:
@@ -51,9 +73,15 @@ def vector_records(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("id", "document", "page_start", "page_end"), "id").select("id", "values", F.struct("document", "page_start", "page_end").alias("metadata"))
 
 
+def upsert_vectors(vectors: DataFrame, chunks: DataFrame, path: str, width: int) -> None:
+    """Vectors (id, values) of chunks into a table of records by id; one of another width fails the whole write."""
+    fine = checked(vectors.filter(F.col("values").isNotNull()), "values", width)
+    upsert(vector_records(fine, chunks), path, "id")
+
+
 def sorted_lines(df: DataFrame, path: str, *keys: str) -> None:
-    """JSON lines in one file, sorted; for small tables that people read."""
-    df.coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+    """JSON lines in one order over all files: each file is sorted, and their names follow the keys."""
+    df.orderBy(*keys).write.mode("overwrite").json(path)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -199,3 +199,162 @@ def test_longest_runs_meet_every_document(spark, tmp_path):
     want = sorted((i, d, (n := run(q, t))[0], round(n[0] / n[1], 9) if n[1] else 0.0) for i, q in quotes.items() for d, t in texts.items())
     got = QUERIES["longest_runs"](spark, str(tmp_path)).collect()
     assert sorted((r["qid"], r["doc_id"], r["run"], round(r["held"], 9)) for r in got) == want
+
+
+def test_embedding_is_cached_and_checked(spark, tmp_path):
+    from loomstack.operators import embedding
+
+    seen = str(tmp_path / "seen")
+
+    class Counted(embedding.LetterCounts):
+        def __call__(self, texts):
+            with open(seen, "a") as out:
+                out.write(f"{len(texts)}\n")
+            return super().__call__(texts)
+
+    chunks = spark.createDataFrame([(f"c{i}", f"a{'b' * i}") for i in range(7)] + [("n", None), ("c0", "a")], "id string, text string").coalesce(1)
+    path = f"file://{tmp_path}/cache"
+    calls = lambda: [int(x) for x in open(seen)]
+    got = {r["id"]: r["values"] for r in embedding.embed_all(chunks, Counted(), path, batch=3).collect()}
+    assert len(got) == 8 and got["c4"][:2] == [1.0, 4.0] and sum(got["n"]) == 0 and sum(calls()) == 8 and max(calls()) <= 3
+    changed = chunks.filter("id <> 'c1'").withColumn("text", F.when(F.col("id") == "c2", "zz").otherwise(F.col("text")))
+    got = {r["id"]: r["values"] for r in embedding.embed_all(changed, Counted(), path).collect()}
+    assert sum(calls()) == 9 and got["c2"][25] == 2.0 and "c1" not in got
+
+    class Narrow(embedding.LetterCounts):
+        width = 5
+
+    for wrong, said in ((Narrow(), "26 wide"), (type("Few", (embedding.LetterCounts,), {"__call__": lambda self, t: []})(), "0 vectors")):
+        with pytest.raises(Exception, match=said):
+            embedding.embed(chunks, wrong).collect()
+    asked = retrieval.asked(spark.createDataFrame([(1, "abba")], "qid int, text string"), embedding.LetterCounts()).first()
+    assert asked["embedding"][:2] == [2.0, 2.0]
+
+
+def test_close_scores_are_ranked_in_full_precision(spark):
+    data = [("a", [1.0, 2e-4]), ("b", [1.0, 1e-4]), ("c", [1e300, 0.0]), ("d", [0.0, 0.0]), ("e", [1e-300, 0.0])]
+    got = vector.top_k(spark.createDataFrame(data, "id string, embedding array<double>"), spark.createDataFrame([(1, [1e200, 0.0])], "qid int, embedding array<double>"), 9).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["c", "e", "b", "a"] and got[0]["score"] == got[1]["score"] == 1.0
+
+
+def test_calls_are_tried_again_only_where_it_may_help(spark):
+    class Model:
+        name, backend = "m", "test"
+
+        def __init__(self):
+            self.calls = {}
+
+        def __call__(self, prompt):
+            n = self.calls[prompt] = self.calls.get(prompt, 0) + 1
+            if prompt == "busy" and n < 4:
+                raise extraction.Passing("busy", 7.5 if n == 2 else None)
+            if prompt == "down":
+                raise extraction.Passing("down", 1000)
+            if prompt == "refused":
+                raise ValueError("no")
+            if prompt == "odd":
+                return ["a list"], "end", {}
+            entities = [{"name": " Jet Lab ", "type": "Facility", "aliases": None}, {"name": "jet lab"}, {"name": ""}, "x", {"name": "Probe", "type": "ufo", "aliases": ["P", None]}, {"name": 5, "type": "person", "description": 1}]
+            relations = [{"source": "JET LAB", "target": "probe", "relation": "Built!"}, {"source": "jet lab", "target": "Jet Lab", "relation": "is"}, {"source": "Probe", "target": "5", "relation": "!!"}, {"source": "Probe", "target": "none", "relation": "x"}, None]
+            return {"entities": entities, "relations": relations, "more": 1}, "max_tokens" if prompt == "cut" else "end", {"tokens": 3, "tier": "high", "fast": True}
+
+    waits = spark.sparkContext.accumulator(0.0)
+    prompts = spark.createDataFrame([(p, p) for p in ("busy", "down", "refused", "odd", "cut")], "id string, prompt string").coalesce(1)
+    records = extraction.extract(prompts, Model(), attempts=4, sleep=waits.add)
+    got = {r["chunk"]: r for r in records.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"busy": "ok", "down": "failed", "refused": "failed", "odd": "failed", "cut": "truncated"}
+    assert waits.value == (2 + 7.5 + 8) + 3 * 60 and got["odd"]["error"] == "the answer is no object"
+    fine = got["busy"]
+    assert fine["usage"] == {"tokens": 3} and fine["repairs"] == {"duplicate_entities": 1, "dropped_entities": 2, "retyped_entities": 1, "dropped_relations": 4}
+    kept = resolution.repaired_entities(records.filter("chunk = 'busy'"))
+    assert rows(kept.filter("fault IS NULL").select("name", "type")) == [("5", "person"), ("Jet Lab", "facility"), ("Probe", "other")]
+    faults = {r["fault"]: r["count"] for r in kept.groupBy("fault").count().collect()}
+    assert (faults["dropped"], faults["duplicate"], kept.filter("retyped").count()) == (2, 1, 1)
+    relations = resolution.repaired_relations(records.filter("chunk = 'busy'"), kept)
+    assert relations.filter("fault IS NULL").count() == 1 and relations.filter("fault = 'dropped'").count() == 4
+    assert ("repairs.dropped_relations", 8) in rows(extraction.run_counters(records))
+
+
+def test_names_fold_case_as_unicode_does(spark):
+    own = record("a:1", [("Straße", "Facility ", "", ["STRASSE", "\tX\n", "x"])], [("STRASSE", "straße", "IST ẞ", "")])
+    got = resolution.repaired_entities(spark.createDataFrame([own], RECORD)).first()
+    assert (got["type"], got["aliases"], got["fold"]) == ("facility", ["X", "x"], "strasse")
+
+
+def test_dropped_relations_have_a_reason(spark):
+    own = record("a:1", [("Mars Lander", "spacecraft", "", ["ML-1 craft"]), ("ML-1 craft", "spacecraft", "", []), ("!!!", "other", "", []), ("Jet Lab", "facility", "", [])], [("Mars Lander", "ML-1 craft", "is", ""), ("Jet Lab", "!!!", "made", ""), ("Jet Lab", "Mars Lander", "made", "")])
+    assert rows(resolution.build(spark.createDataFrame([own], RECORD)).dropped) == [("no_node", 1), ("same_node", 1)]
+
+
+def test_the_last_row_wins_and_no_crash_loses_a_table(spark, tmp_path):
+    old = spark.createDataFrame([(1, "x", {"a": 1}), (2, "y", None)], "id int, v string, m map<string,int>")
+    new = spark.createDataFrame([(2, "z", {"b": 2}, 1), (2, "a", None, 2), (3, "w", None, 1)], "id int, v string, m map<string,int>, seq int")
+    assert sorted((r["id"], r["v"]) for r in sinks.upserted(old, new, "id", seq="seq").collect()) == [(1, "x"), (2, "a"), (3, "w")]
+    path = f"{tmp_path}/t"
+    sinks.replace(old, f"file://{path}")
+    (tmp_path / "t").rename(tmp_path / "t.aside")  # as if a crash came between the two renames
+    sinks.upsert(new, f"file://{path}", "id", seq="seq")
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t.aside").exists()
+    vectors = spark.createDataFrame([("c", [1.0, 2.0]), ("c", [1.0, 2.0]), ("lost", [0.0, 0.0])], "id string, values array<double>")
+    chunks = spark.createDataFrame([("c", "d", 1, 2)], "id string, document string, page_start int, page_end int")
+    sinks.upsert_vectors(vectors, chunks, f"file://{path}v", 2)
+    assert [(r["id"], r["metadata"]["page_end"]) for r in spark.read.parquet(f"{path}v").collect()] == [("c", 2)]
+    with pytest.raises(Exception, match="3 wide"):
+        sinks.upsert_vectors(vectors, chunks, f"file://{path}v", 3)
+
+
+def test_records_keys_sources_and_the_verdict(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    raw = spark.createDataFrame([(1, '{"id": "a", "kind": "k"}'), (2, '{"id": "a", "extra": 1}'), (3, "[]"), (4, None)], "n int, json string")
+    found = evaluation.key_faults(raw, "n", "json", StructType.fromDDL("id string, kind string, hops string"), optional=("hops",))
+    assert rows(found) == [("missing:kind", "2"), ("no_object", "3"), ("no_object", "4"), ("unknown:extra", "2")]
+    (tmp_path / "e.json").write_text('{"amendment": 1, "passages": {"q1": [{"doc": "d", "page": 2, "quote": "so"}]}}')
+    assert rows(readers.equivalents(spark, f"file://{tmp_path}/e.json")) == [("q1", 1, "d", 2, "so")]
+    assert readers.equivalents(spark, f"file://{tmp_path}/none.json").count() == 0
+    passages = spark.createDataFrame([("q1", "d"), ("q2", "z")], "id string, document string")
+    assert rows(evaluation.unlisted_documents(passages, spark.createDataFrame([("d",)], "slug string"))) == [("document_unlisted", "q2")]
+    skipped = []
+    none, some = found.limit(0), found
+    assert evaluation.verdict(lambda: none, lambda: none) == (0, None)
+    assert evaluation.verdict(lambda: some, lambda: skipped.append(1))[0] == 1 and not skipped
+    assert evaluation.verdict(lambda: none, lambda: some)[0] == 1
+    assert evaluation.verdict(lambda: spark.read.json(f"file://{tmp_path}/nowhere.json")) == (2, None)
+    (tmp_path / "bad.json").write_text('{"documents": [}')
+    assert evaluation.verdict(lambda: readers.manifest(spark, str(tmp_path / "bad.json"))) == (2, None)
+    with pytest.raises(Exception, match="no_such"):
+        evaluation.verdict(lambda: none.select("no_such"))
+    text = "".join(f"\f--- page {n} ---\n{t}\n" for n, t in ((1, "a"), (2, "b"), (1, "c")))
+    pages = chunking.page_map(spark.createDataFrame([("d", text)], "document string, text string"))
+    assert [(p, t.strip()) for _, p, t in rows(pages)] == [(1, "c"), (2, "b")]
+
+
+def test_answers_are_picked_from_json(spark):
+    from loomstack.functions import answers
+
+    calls = '{"content": [{"type": "text"}, {"type": "tool_use", "name": "other", "input": {"a": 0}}, {"type": "tool_use", "name": "t", "input": "cut"}, {"type": "tool_use", "name": "t", "input": {"a": 1}}], "modelUsage": {"m": {}}}'
+    df = spark.createDataFrame([(1, calls), (2, '{"modelUsage": {"m": 1, "n": 2}, "content": []}'), (3, "no json"), (4, None)], "n int, a string")
+    got = df.orderBy("n").select(answers.call_input(F.col("a"), "t"), answers.sole_key(F.col("a"), "$.modelUsage")).collect()
+    assert [tuple(r) for r in got] == [('{"a":1}', "m"), (None, None), (None, None), (None, None)]
+    usage = spark.createDataFrame([('{"x": 3, "y": -4, "s": "high", "f": 1.5, "b": true, "o": {"z": 1}, "n": null}',), ("[]",), (None,)], "u string")
+    assert [r[0] for r in usage.select(answers.counters(F.col("u"))).collect()] == [{"x": 3, "y": -4}, {}, {}]
+
+
+def test_no_shared_folder_on_a_cluster_raises():
+    from types import SimpleNamespace
+
+    from loomstack.shared import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: ""), sparkContext=SimpleNamespace(master="spark://there:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(cluster)
+
+
+def test_hot_keys_keep_every_link(spark):
+    pairs = [("hub", f"n{i:03d}") for i in range(300)] + [(f"n{i:03d}", f"m{i:03d}") for i in range(0, 300, 3)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = dict(rows(graph.components(spark.createDataFrame([("alone",)], "key string"), spark.createDataFrame(pairs, "a string, b string"))))
+    assert {got[k] for k in got if k[0] in "hnm"} == {"hub"} and len(got) == 1 + 300 + 100 + 4
+    assert (got["x"], got["y"], got["z"], got["alone"]) == ("x", "x", "z", "alone")
+    values = spark.createDataFrame([("a", 1, 90_000), ("b", 2, 1)], "k string, v int, n int")
+    joined = graph.met(spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "k string, w int"), values, "k", "v", "n", 90_000)
+    assert rows(joined) == [("a", 0, 1), ("b", 0, 2)]
