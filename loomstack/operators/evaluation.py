@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from loomstack.functions.text import contains_half, half_held, held, overlaps, span_on_page, spaced
+from loomstack.functions.text import contains_half, held, overlaps, span_on_page, spaced
 
 CUTS = (5, 10)
 #: Bytes of quotes that are sent to all tasks at once.
@@ -26,16 +29,59 @@ def met(hits: DataFrame, quotes: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
     """quotes (qid, quote, ...) with the _rank of every hit that holds half of them.
 
     hits: (qid, rank, text), each met by the quotes of its query; or (rank, text), each met by all quotes. These are
-    then a stated set, sent to all tasks in blocks of a checked size.
+    then a stated set, sent to all tasks in blocks of at most block_bytes; no pair is formed that shares nothing.
     """
     if "qid" in hits.columns:
         return quotes.join(hits.select("qid", F.col("rank").alias("_rank"), "text"), "qid").filter(contains_half(F.col("text"), F.col("quote"))).drop("text")
-    own, rows = quotes.withColumn("_quote", spaced(F.col("quote"))), hits.select(F.col("rank").alias("_rank"), spaced(F.col("text")).alias("_text"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-    part = lambda i: F.broadcast(own if blocks == 1 else own.filter(F.pmod(F.xxhash64("qid", "quote"), F.lit(blocks)) == i))
-    found = [rows.join(part(i), half_held(F.col("_text"), F.col("_quote"))).select(*quotes.columns, "_rank") for i in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    rows = hits.select(spaced(F.col("text")).alias("_text"), F.col("rank").alias("_rank")).filter(F.col("_text") != "")
+    kind = StructType([*quotes.schema.fields, StructField("_rank", hits.schema["rank"].dataType)])
+    found = [rows.mapInArrow(_holders(hits.sparkSession.sparkContext.broadcast(block), to_arrow_schema(kind)), kind) for block in _blocks(quotes, block_bytes)]
+    return reduce(DataFrame.unionByName, found) if found else hits.sparkSession.createDataFrame([], kind)
+
+
+def _blocks(quotes: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, tuple]]]:
+    """Settled quotes with their rows, as they stream to the driver, in blocks of at most block_bytes."""
+    block, size = [], 0
+    for r in quotes.withColumn("_quote", spaced(F.col("quote"))).filter(F.col("_quote") != "").toLocalIterator():
+        if block and size + 4 * len(r["_quote"]) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r["_quote"], tuple(r)[:-1]))
+        size += 4 * len(r["_quote"])
+    if block:
+        yield block
+
+
+def _holders(sent: Broadcast, kind: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map from texts (_text, _rank) to the quotes that they hold half of.
+
+    Half of a quote, wherever it lies, covers one of its consecutive parts of a quarter whole, as in contains_half(). One
+    pass over a text finds the parts of all quotes in it, and only those quotes are looked at.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        parts: dict[str, list[int]] = {}
+        for n, (quote, _) in enumerate(sent.value):
+            wide = max(((len(quote) + 1) // 2 + 1) // 2, 1)
+            for at in range(0, len(quote) - wide + 1, wide):
+                parts.setdefault(quote[at : at + wide], []).append(n)
+        search = ahocorasick.Automaton()
+        for part, own in parts.items():
+            search.add_word(part, tuple(set(own)))
+        search.make_automaton()
+        for batch in batches:
+            out = []
+            for text, rank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n in {n for _, own in search.iter(text) for n in own}:
+                    quote, row = sent.value[n]
+                    half = (len(quote) + 1) // 2
+                    if quote in text or any(quote[i : i + half] in text for i in range(len(quote) - half + 1)):
+                        out.append((*row, rank))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(kind), kind.types, strict=True)], schema=kind)
+
+    return run
 
 
 def first_ranks(hits: DataFrame, quotes: DataFrame) -> DataFrame:

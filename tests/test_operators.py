@@ -126,6 +126,30 @@ def test_ranks_and_tally(spark):
     assert rows(evaluation.attribution(hits, quotes).select("qid", "rank", "label").na.fill("-")) == [(1, 1, "bridge"), (1, 2, "-"), (1, 3, "answer"), (2, 1, "-")]
 
 
+def test_stated_quotes_meet_all_texts_in_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    quotes = [(i, word(rng.randrange(0, 16)), "answer") for i in range(40)] + [(50, None, "bridge"), (51, "é  b" * 30, "bridge"), (51, "é  b" * 30, "bridge")]
+    texts = [(i, word(rng.randrange(0, 40))) for i in range(60)] + [(70, None), (71, "é b" * 16), (72, "")]
+
+    def holds(q, t):
+        q, t = " ".join((q or "").split()), " ".join((t or "").split())
+        half = -(-len(q) // 2)
+        return bool(q) and any(q[i : i + half] in t for i in range(len(q) - half + 1))
+
+    q, t = spark.createDataFrame(quotes, "qid int, quote string, role string"), spark.createDataFrame(texts, "rank int, text string")
+    want = sorted((i, r) for i, quote, _ in quotes for r, text in texts if holds(quote, text))
+    for size in (1 << 20, 50):
+        assert rows(evaluation.met(t, q, size).select("qid", "_rank")) == want
+    ranks = {(r["qid"], r["rank"]) for r in evaluation.first_ranks(t, q).collect()}
+    assert ranks == {(i, min((r for j, r in want if j == i), default=None)) for i, _, _ in quotes}
+    assert evaluation.met(t, q.limit(0)).count() == 0
+    crossed = t.crossJoin(q.select("qid"))
+    assert rows(evaluation.met(crossed.distinct(), q.distinct()).select("qid", "_rank")) == sorted(set(want))
+
+
 def test_last_rows_resume_and_upsert(spark, tmp_path):
     log = spark.createDataFrame([("a", "failed", 1), ("a", "ok", 2), ("b", "failed", 3)], "chunk string, status string, seq long")
     assert rows(readers.done(log)) == [("a", "ok"), ("b", "failed")]
