@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstack.shared import written
+from loomstack.shared import discard, written
 
 HOPS, WALK_LIMIT = 2, 20
 #: A key that more than one in HOT rows have is met by a broadcast, so at most HOT keys are; all others by a shuffle.
@@ -21,29 +21,33 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).select(pairs.alias("p")).select("p.a", "p.b").distinct()
 
 
-def reach(edges: DataFrame, node_chunks: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
+def reach(edges: DataFrame, node_chunks: DataFrame, seeds: DataFrame, hops: int = HOPS, through: int | None = None) -> DataFrame:
     """qid, node_id, hop: nodes within hops of the seeds' nodes and the fewest hops to them.
 
+    through: nodes with more neighbours than this are reached, but the walk does not go on from them (off by default).
+
     Each hop joins only the nodes new in the last one and drops what was reached before, so a hub multiplies
     no paths. Frontiers and neighbours are written once, so no hop works out the hops before it anew.
     """
     frontier = written(seeds.join(node_chunks, "chunk_id").select("qid", "node_id").distinct().withColumn("hop", F.lit(0)), "frontier")
     reached = frontier
     if hops:
-        both = written(undirected(edges), "neighbours")
+        ways = both = written(undirected(edges), "neighbours")
+        if through is not None:
+            ways = both.join(both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") <= through).select("a"), "a", "left_semi")
     for hop in range(1, hops + 1):
-        step = frontier.select("qid", F.col("node_id").alias("a")).join(both, "a").select("qid", F.col("b").alias("node_id")).distinct()
+        step = frontier.select("qid", F.col("node_id").alias("a")).join(ways, "a").select("qid", F.col("b").alias("node_id")).distinct()
         frontier = written(step.join(reached.select("qid", "node_id"), ["qid", "node_id"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)
     return reached
 
 
-def walk(edges: DataFrame, node_chunks: DataFrame, seeds: DataFrame, hops: int = HOPS, limit: int = WALK_LIMIT, per_hop: int | None = None) -> DataFrame:
+def walk(edges: DataFrame, node_chunks: DataFrame, seeds: DataFrame, hops: int = HOPS, limit: int = WALK_LIMIT, per_hop: int | None = None, through: int | None = None) -> DataFrame:
     """qid, pos, chunk_id, min_hop, node_count: chunks of reached nodes, nearest first, then most nodes, then id.
 
-    per_hop: at most so many chunks of each hop, so near ones cannot crowd out far ones (off by default).
+    per_hop: at most so many chunks of each hop, so near ones cannot crowd out far ones; through: as reach() takes it (both off by default).
     """
-    found = reach(edges, node_chunks, seeds, hops).join(node_chunks.select("node_id", "chunk_id").distinct(), "node_id")
+    found = reach(edges, node_chunks, seeds, hops, through).join(node_chunks.select("node_id", "chunk_id").distinct(), "node_id")
     chunks = found.groupBy("qid", "chunk_id").agg(F.min("hop").alias("min_hop"), F.count("*").alias("node_count"))
     order: list[Column] = [F.col("min_hop"), F.desc("node_count"), F.col("chunk_id")]
     if per_hop is not None:
@@ -66,6 +70,12 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(ends, "node_id", "left_anti")
 
 
+def ranked_counts(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, value, n, place: how often each value stands in each group, the most frequent first, ties by value."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value)))
+
+
 def cross_document(node_chunks: DataFrame, document: Column) -> DataFrame:
     """node_id, documents: nodes whose chunks lie in more than one document."""
     return node_chunks.groupBy("node_id").agg(F.countDistinct(document).alias("documents")).filter("documents > 1")
@@ -91,7 +101,7 @@ def stars(edges: DataFrame) -> DataFrame:
     list of its neighbours nor a task of its own.
     """
     edges, seen = written(edges.distinct(), "stars"), None
-    while True:
+    while True:  # each round reads only what the one before wrote
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges
@@ -102,7 +112,9 @@ def stars(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
         down = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         small = met(large, least, "u", "m", "k", total).select(down.alias("e")).select("e.u", "e.v")
-        edges = written(small.filter("u > v").distinct(), "stars")
+        last, edges = edges, written(small.filter("u > v").distinct(), "stars")
+        discard(last)
+        discard(large)
 
 
 def components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -120,9 +120,10 @@ def edge_id(*parts: str) -> Column:
 
 @dataclass
 class Graph:
-    nodes: DataFrame  # id, name, type, description, aliases, documents, mentions, chunks
+    nodes: DataFrame  # id, name, type, description, mentions
     edges: DataFrame  # id, source, target, relation, chunk_id, evidence
     node_chunks: DataFrame  # node_id, chunk_id
+    aliases: DataFrame  # node_id, alias: other names that the node goes by
     dropped: DataFrame  # reason, n
 
 
@@ -140,12 +141,10 @@ def build(records: DataFrame) -> Graph:
     names = written(modal(own, "root", "name", F.col("name")), "names")
     types = modal(own, "root", "type", F.array_position(F.array(*map(F.lit, ENTITY_TYPES)), F.col("type")))
     ids = unique_ids(names)
-    sets = own.groupBy("root").agg(
-        F.array_sort(F.collect_set("chunk")).alias("chunks"), F.array_sort(F.collect_set(document_of(F.col("chunk")))).alias("documents"),
-        F.array_sort(F.array_union(F.collect_set("name"), F.array_distinct(F.flatten(F.collect_set("aliases"))))).alias("surfaces"), F.count("*").alias("mentions"),
-    )
-    nodes = ids.join(names, "root").join(types, "root").join(longest_description(own, "root"), "root", "left").join(sets, "root")
-    nodes = nodes.select(F.col("node_id").alias("id"), "name", "type", "description", F.array_except("surfaces", F.array("name")).alias("aliases"), "documents", "mentions", "chunks")
+    nodes = ids.join(names, "root").join(types, "root").join(longest_description(own, "root"), "root", "left").join(own.groupBy("root").agg(F.count("*").alias("mentions")), "root")
+    nodes = nodes.select(F.col("node_id").alias("id"), "name", "type", "description", "mentions")
+    surfaces = own.select("root", F.explode(F.array_append("aliases", F.col("name"))).alias("alias")).distinct()
+    aliases = surfaces.join(names, "root").filter("alias <> name").join(ids, "root").select("node_id", "alias")
     by_key = own.select("key", "root").distinct().join(ids, "root").select("key", "node_id")
     ends = relations.withColumn("s", name_key("source")).withColumn("t", name_key("target"))
     ends = ends.join(by_key.select(F.col("key").alias("s"), F.col("node_id").alias("source_id")), "s", "left").join(by_key.select(F.col("key").alias("t"), F.col("node_id").alias("target_id")), "t", "left")
@@ -153,7 +152,23 @@ def build(records: DataFrame) -> Graph:
     kept = ends.filter("reason IS NULL").groupBy(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation", F.col("chunk").alias("chunk_id")).agg(F.min("evidence").alias("evidence"))
     edges = kept.select(edge_id("source", "target", "relation", "chunk_id").alias("id"), "source", "target", "relation", "chunk_id", "evidence")
     node_chunks = own.select("root", "chunk").distinct().join(ids, "root").select("node_id", F.col("chunk").alias("chunk_id"))
-    return Graph(nodes, edges, node_chunks, ends.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
+    return Graph(nodes, edges, node_chunks, aliases, ends.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
+
+
+def sorted_set(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """group, name: the group's distinct values in order, as an array; all of a group are in one row."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_set(value)).alias(name))
+
+
+def node_records(graph: Graph) -> DataFrame:
+    """Nodes with their sorted aliases, documents and chunks as arrays, for reports: one row holds all of a node.
+
+    build() itself keeps these as rows, so a node that stands in most chunks is no row that outgrows a task.
+    """
+    placed = graph.node_chunks.select(F.col("node_id").alias("id"), "chunk_id", document_of(F.col("chunk_id")).alias("document"))
+    sets = sorted_set(placed, "id", "chunk_id", "chunks").join(sorted_set(placed, "id", "document", "documents"), "id")
+    other = sorted_set(graph.aliases.withColumnRenamed("node_id", "id"), "id", "alias", "aliases")
+    return graph.nodes.join(sets, "id", "left").join(other, "id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("aliases", "documents", "chunks")})
 
 
 def provenance(edges: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -152,6 +152,12 @@ def walk_per_hop(spark, d):
     return graph.walk(*T.path_graph(spark, d), hops=4, per_hop=1)
 
 
+@query(_walk_sql(T.EDGES, T.NODE_CHUNKS, T.SEEDS, "SELECT * FROM least").replace("JOIN both_ways ON a = node_id", "JOIN (SELECT * FROM both_ways WHERE a IN (SELECT a FROM both_ways GROUP BY a HAVING count(*) <= 40)) ON a = node_id"))
+def walk_damped(spark, d):
+    """The walk does not go on from a node with over 40 neighbours."""
+    return graph.reach(T.order_edges(spark, d), T.order_node_chunks(spark, d), T.order_seeds(spark, d), through=40)
+
+
 @query(f"WITH ends AS (SELECT source AS n FROM ({T.EDGES}) UNION ALL SELECT target FROM ({T.EDGES})) SELECT 'p' || p_partkey AS node_id, count(n) AS degree FROM part LEFT JOIN ends ON n = 'p' || p_partkey GROUP BY ALL")
 def degrees(spark, d):
     return graph.degrees(T.load(spark, d, "part").select(F.format_string("p%d", "p_partkey").alias("node_id")), T.order_edges(spark, d))
@@ -239,7 +245,7 @@ _NODES = f"""{_KEPT}, said AS (SELECT *, CASE WHEN name LIKE 'Part%' THEN lower(
     place AS (SELECT grp, string_agg(doc, '|' ORDER BY doc) AS documents FROM (SELECT DISTINCT grp, split_part(chunk, ':', 1) AS doc FROM said) GROUP BY grp)
     SELECT lower(replace(name, ' ', '-')) AS id, name, type, description, mentions, chunks, place.documents, coalesce(other.aliases, '') AS aliases FROM node JOIN place USING (grp) LEFT JOIN other USING (grp)""")
 def resolved_nodes(spark, d):
-    nodes = resolution.build(T.records(spark, d)).nodes
+    nodes = resolution.node_records(resolution.build(T.records(spark, d)))
     return nodes.select("id", "name", "type", "description", "mentions", F.size("chunks").cast("long").alias("chunks"), F.array_join("documents", "|").alias("documents"), F.array_join("aliases", "|").alias("aliases"))
 
 
@@ -278,7 +284,7 @@ def longest_description(spark, d):
 
 @query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS types FROM events GROUP BY user_id")
 def sorted_sets(spark, d):
-    return T.load(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("types"))
+    return resolution.sorted_set(T.load(spark, d, "events"), "user_id", "event_type", "types").withColumn("types", F.array_join("types", "|"))
 
 
 _NAMED = [(-1, "The Café-Noir, Inc.", "cafe noir", "the_caf_noir_inc"), (-2, "Straße / Ægir", "strasse ægir", "strasse_gir"), (-3, "ＮＡＳＡ №5", "nasa no5", "5"), (-4, "\u212bngström_Ltd", "angstrom", "ngstr_m_ltd")]
@@ -574,16 +580,15 @@ def masked_secrets(spark, d):
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nation', count(*) FROM nation")
 def table_counts(spark, d):
-    one = lambda name: T.load(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return one("documents").unionByName(one("orders")).unionByName(one("nation"))
+    return readers.table_counts({name: T.load(spark, d, name) for name in ("documents", "orders", "nation")})
 
 
-@query("SELECT DISTINCT n_nationkey::INT AS key FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)")
+@query("SELECT DISTINCT n_nationkey::INT AS key FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def missing_keys(spark, d):
-    return T.load(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("key")).exceptAll(T.load(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").cast("int").alias("key")).distinct())
+    key = lambda name, c: T.load(spark, d, name).select(F.col(c).cast("int").alias("key"))
+    return readers.missing_keys(key("nation", "n_nationkey"), key("supplier", "s_nationkey"), "key")
 
 
 @query("SELECT event_type, user_id % 3 AS third, count(*) AS n, rank() OVER (PARTITION BY user_id % 3 ORDER BY count(*) DESC, event_type)::INT AS place FROM events GROUP BY event_type, user_id % 3")
 def ranked_counts(spark, d):
-    counts = T.load(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("third")).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy("third").orderBy(F.desc("n"), "event_type")))
+    return graph.ranked_counts(T.load(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("third")), "third", "event_type")

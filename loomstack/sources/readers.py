@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -114,3 +116,13 @@ def key_faults(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that several rows have, and how many."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
+def missing_keys(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of wanted that have lacks."""
+    return wanted.select(key).distinct().join(have.select(key), key, "left_anti")

@@ -22,14 +22,16 @@ def upserted(old: DataFrame | None, new: DataFrame, *keys: str, seq: str | None
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """A new version of a table written beside the old one, which then takes its place.
-
-    The old version is put aside first and deleted last, so a crash at any point loses no table: recover() puts it back.
-    """
+    """A new version of a table written beside the old one, which then takes its place."""
     part = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(part)
-    recover(df.sparkSession, path)
-    fs, now, new, aside = _paths(df.sparkSession, path, part, f"{path}.aside")
+    _swap(df.sparkSession, part, path)
+
+
+def _swap(spark: SparkSession, part: str, path: str) -> None:
+    """part in the place of path. The old version is put aside first and deleted last, so a crash loses nothing: recover() puts it back."""
+    recover(spark, path)
+    fs, now, new, aside = _paths(spark, path, part, f"{path}.aside")
     if fs.exists(now) and not fs.rename(now, aside):
         raise OSError(f"{path} could not be put aside")
     if not fs.rename(new, now):
@@ -62,10 +64,13 @@ def upsert(df: DataFrame, path: str, *keys: str, seq: str | None = None) -> None
 
 
 def replace_graph(graph, path: str) -> None:
-    """Nodes, edges and node_chunks as tables of their own; an empty description is null."""
-    replace(graph.nodes.select("id", "name", "type", F.nullif("description", F.lit("")).alias("description")), f"{path}/nodes")
-    replace(graph.edges, f"{path}/edges")
-    replace(graph.node_chunks, f"{path}/node_chunks")
+    """Nodes, edges, node_chunks and aliases as tables in one folder, sorted, that replaces the old one whole; an empty description is null."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    graph.nodes.withColumn("description", F.nullif("description", F.lit(""))).orderBy("id").write.parquet(f"{part}/nodes")
+    graph.edges.orderBy("id").write.parquet(f"{part}/edges")
+    graph.node_chunks.orderBy("node_id", "chunk_id").write.parquet(f"{part}/node_chunks")
+    graph.aliases.orderBy("node_id", "alias").write.parquet(f"{part}/aliases")
+    _swap(graph.nodes.sparkSession, part, path)
 
 
 def vector_records(vectors: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ def test_walk_reaches_two_hops_and_near_chunks_come_first(spark):
     many = nodes.union(spark.createDataFrame([("a", f"x{i:02d}") for i in range(25)], nodes.schema))
     assert {r["min_hop"] for r in graph.walk(edges, many, seeds).collect()} == {0}
     assert {r["min_hop"] for r in graph.walk(edges, many, seeds, per_hop=5).collect()} == {0, 1, 2}
+    assert rows(graph.walk(edges, nodes, seeds, through=1).select("chunk_id", "min_hop")) == [("ca", 0), ("cb", 1)]
 
 
 def test_degrees_and_isolated_nodes(spark):
@@ -87,7 +88,7 @@ def test_graph_building(spark):
         record("b:0002", [("Lost", "person", "", [])], status="failed"),
     ], RECORD)
     built = resolution.build(records)
-    nodes = {r["id"]: r for r in built.nodes.collect()}
+    nodes = {r["id"]: r for r in resolution.node_records(built).collect()}
     assert set(nodes) == {"ml-1-craft", "jet-lab", "board"}
     lander = nodes["ml-1-craft"]
     assert (lander["type"], lander["description"], lander["mentions"], lander["documents"]) == ("spacecraft", "a longer text", 2, ["a", "b"])
@@ -97,6 +98,16 @@ def test_graph_building(spark):
     assert rows(built.node_chunks) == [("board", "a:0001"), ("board", "b:0001"), ("jet-lab", "a:0001"), ("jet-lab", "b:0001"), ("ml-1-craft", "a:0001"), ("ml-1-craft", "b:0001")]
 
 
+def test_a_graph_replaces_the_old_one_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/graph"
+    for name in ("One", "Other"):
+        records = spark.createDataFrame([record("a:1", [(name, "person", "", ["Too"]), ("Jet Lab", "facility", "it", [])], [(name, "Jet Lab", "leads", "")])], RECORD)
+        sinks.replace_graph(resolution.build(records), path)
+    assert rows(spark.read.parquet(f"{path}/nodes").select("id", "description").na.fill("-")) == [("jet-lab", "it"), ("other", "-")]
+    assert rows(spark.read.parquet(f"{path}/aliases")) == [("other", "Too")] and spark.read.parquet(f"{path}/edges").count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["graph"]
+
+
 def test_numbered_ids_stay_unique(spark):
     groups = spark.createDataFrame([("r1", "x"), ("r2", "X"), ("r3", "x 2"), ("r4", "x!")], "root string, name string")
     got = dict(rows(resolution.unique_ids(groups)))
