@@ -40,8 +40,8 @@ TOKENS, SEGMENTS, END = 2048, 256, 1
 POOL = 256
 #: The shortest sequence that a task's leftover is cut into.
 SHORTEST = 64
-#: Units, and their bytes, that a worker's cache of token ids holds before it starts anew.
-CACHE, CACHE_BYTES = 1_000_000, 64 << 20
+#: Units, and their bytes, that a worker's cache of token ids holds before it starts anew; a dictionary's table doubles just beyond.
+CACHE, CACHE_BYTES = 690_000, 64 << 20
 #: Words encoded at once.
 GROUP = 500
 
