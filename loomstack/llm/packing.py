@@ -205,7 +205,7 @@ class Packer:
         """Packs one sequence from the waiting pieces."""
         n = len(self.waiting)
         demand = self.demand[:n]
-        open_ = np.ones(n, bool)
+        open_, cut = np.ones(n, bool), None
         while True:
             score = demand @ (self.left / self.limits / self.limits)
             fit = open_ & (demand <= self.left).all(axis=1)
@@ -218,11 +218,13 @@ class Packer:
                 best = int(np.where(open_, score, -1).argmax())
                 if room := self._room(self.waiting[best]):
                     yield self._put(self.waiting[best], room)
-                    self.waiting[best] = self._cut(self.waiting[best], room)
+                    self.waiting[best], cut = self._cut(self.waiting[best], room), best
             break
-        self.waiting = [p for p, k in zip(self.waiting, open_, strict=True) if k]
-        for i, p in enumerate(self.waiting):
-            self.demand[i] = self._demand(p)
+        if cut is not None:
+            demand[cut] = self._demand(self.waiting[cut])
+        kept = np.flatnonzero(open_)
+        self.waiting = [self.waiting[i] for i in kept.tolist()]
+        self.demand[: len(kept)] = demand[kept]
         self._close()
 
     def add(self, name: object, ids: np.ndarray, loss: np.ndarray | None = None) -> Iterator[tuple]:
