@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -12,13 +13,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from loomstack.functions.runs import Runs
 from loomstack.functions.text import contains_half, held, overlaps, span_on_page, spaced
 
 CUTS = (5, 10)
 #: Bytes of quotes that are sent to all tasks at once.
 BLOCK_BYTES = 4 << 20
+#: The same, where a task holds all stretches of the quotes; and most quotes and rows that go with them.
+RUN_BYTES, RUN_QUOTES, RUN_ROWS = 256 << 10, 512, 1 << 16
 KINDS, ROLES = ("single-hop", "multi-hop"), ("answer", "bridge")
 QUOTE_CHARS = (80, 400)
 #: Errors that tell of a source that is not there or not well formed.
@@ -39,11 +43,12 @@ def met(hits: DataFrame, quotes: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
     return reduce(DataFrame.unionByName, found) if found else hits.sparkSession.createDataFrame([], kind)
 
 
-def _blocks(quotes: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, tuple]]]:
-    """Settled quotes with their rows, as they stream to the driver, in blocks of at most block_bytes."""
+def _blocks(quotes: DataFrame, block_bytes: int, most: int | None = None, empty: bool = False) -> Iterator[list[tuple[str, tuple]]]:
+    """Settled quotes with their rows, as they stream to the driver, in blocks of at most block_bytes and `most` quotes; empty: null and empty ones too."""
     block, size = [], 0
-    for r in quotes.withColumn("_quote", spaced(F.col("quote"))).filter(F.col("_quote") != "").toLocalIterator():
-        if block and size + 4 * len(r["_quote"]) > block_bytes:
+    settled = quotes.withColumn("_quote", F.coalesce(spaced(F.col("quote")), F.lit("")))
+    for r in (settled if empty else settled.filter(F.col("_quote") != "")).toLocalIterator():
+        if block and (size + 4 * len(r["_quote"]) > block_bytes or len(block) == most):
             yield block
             block, size = [], 0
         block.append((r["_quote"], tuple(r)[:-1]))
@@ -84,6 +89,38 @@ def _holders(sent: Broadcast, kind: pa.Schema) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def runs(texts: DataFrame, quotes: DataFrame, block_bytes: int = RUN_BYTES) -> DataFrame:
+    """For every quote (qid, quote) and every text (text, other columns): qid, the other columns, run and held.
+
+    run: characters of the longest stretch that they share, white space aside; held: its share of the quote. Null and empty
+    ones share nothing. The quotes are a stated set, sent to all tasks in blocks; one pass over a text serves a whole block.
+    """
+    others = [c for c in texts.columns if c != "text"]
+    rows = texts.select(*others, F.coalesce(spaced(F.col("text")), F.lit("")).alias("text"))
+    kind = StructType([quotes.schema["qid"], *(texts.schema[c] for c in others), StructField("run", IntegerType()), StructField("held", DoubleType())])
+    wanted, spark = quotes.select("qid", "quote"), texts.sparkSession
+    found = [rows.mapInArrow(_sharers(spark.sparkContext.broadcast(block), to_arrow_schema(kind)), kind) for block in _blocks(wanted, block_bytes, RUN_QUOTES, empty=True)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind)
+
+
+def _sharers(sent: Broadcast, kind: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map from texts, their last column, to what they share with every quote of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotes = [quote for quote, _ in sent.value]
+        own, chars, search = pa.array([row[0] for _, row in sent.value], kind.types[0]), np.array([max(len(q), 1) for q in quotes]), Runs(quotes)
+        step = max(1, RUN_ROWS // len(quotes))
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                n = np.array([search.of(text.as_py()) for text in part.column(part.num_columns - 1)], np.int32)
+                each = pa.array(np.repeat(np.arange(len(n)), len(quotes)))
+                again = own.take(pa.array(np.tile(np.arange(len(quotes)), len(n))))
+                yield pa.RecordBatch.from_arrays([again, *(c.take(each).cast(t) for c, t in zip(part.columns[:-1], kind.types[1:-2], strict=True)), pa.array(n.ravel()), pa.array((n / chars).ravel())], schema=kind)
+
+    return run
+
+
 def first_ranks(hits: DataFrame, quotes: DataFrame) -> DataFrame:
     """quotes (qid, quote, ...), each once, with rank: the first hit that holds the quote, or null. hits: as met() takes them."""
     best = met(hits, quotes).unionByName(quotes.withColumn("_rank", F.lit(None).cast(hits.schema["rank"].dataType)))

@@ -495,8 +495,8 @@ def passage_coverage(spark, d):
 @query()
 def longest_runs(spark, d):
     """Every benchmark item against every document."""
-    docs = T.load(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
-    return docs.crossJoin(_quotes(spark, d)).select("qid", "doc_id", X.longest_run("quote", "text").alias("run"), X.held(F.col("quote"), F.col("text")).alias("held"))
+    docs = T.load(spark, d, "documents").select("doc_id", "text").repartition("doc_id")  # far dearer to work than to move
+    return evaluation.runs(docs, _quotes(spark, d))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")

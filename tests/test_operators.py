@@ -236,6 +236,26 @@ def test_longest_runs_meet_every_document(spark, tmp_path):
     assert sorted((r["qid"], r["doc_id"], r["run"], round(r["held"], 9)) for r in got) == want
 
 
+def test_runs_equal_brute_force(spark):
+    import random
+
+    from loomstack.functions.runs import Runs
+    from loomstack.functions.text import _longest
+
+    rng = random.Random(5)
+    for _ in range(300):
+        quotes = ["".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 6))]
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(25))) for _ in range(3)]
+        search = Runs(quotes)
+        assert [search.of(t) for t in texts] == [[_longest(q, t) for q in quotes] for t in texts]
+    quotes = spark.createDataFrame([(i, "ab" * i) for i in range(5)], "qid int, quote string")
+    texts = spark.createDataFrame([("x", "abab", None), ("x", None, 1)], "name string, text string, extra int")
+    want = sorted((i, "x", e, n, n / max(2 * i, 1)) for i in range(5) for e, n in ((-1, min(4, 2 * i)), (1, 0)))
+    for block in (1, 1 << 10):  # several blocks equal one
+        assert rows(evaluation.runs(texts, quotes, block).fillna({"extra": -1})) == want
+    assert evaluation.runs(texts, quotes.limit(0)).collect() == evaluation.runs(texts.limit(0), quotes).collect() == []
+
+
 def test_embedding_is_cached_and_checked(spark, tmp_path):
     from loomstack.operators import embedding
 
