@@ -2,7 +2,8 @@
 
 An n-gram's ratio compares how many toxic and other labelled texts hold it. The SELECTED n-grams whose ratios
 stand out most from their sampling error are features, present or absent, scaled by their ratio; logistic
-regression fits their weights. Scoring looks up every n-gram of a whole text and counts each once.
+regression fits their weights. Margins become probabilities by a slope and a level that fit texts left out of the
+fit by turns, at the labels' own odds. Scoring looks up every n-gram of a whole text and counts each once.
 
 The model is fitted on a bounded sample: of each label the PER_LABEL labelled ids of the least hashes, each with one
 text, of at most TRAIN_CHARS characters; if a label has no text that short, its LONG shortest ones are learned from
@@ -36,6 +37,8 @@ THRESHOLD = 0.3
 CLEAR = 3.0
 #: Least ratio, as a logarithm: what is about as common in both kinds of text says nothing.
 STRONG = 1.0
+#: Parts of the sample that are left out by turns to calibrate scores, and how firmly calibration stays near none.
+FOLDS, NEAR = 3, 1e-3
 
 
 def present(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,32 +80,10 @@ class Model:
             row.append((r + low).astype(np.int32))
             bucket.append(b.astype(np.int32))
         row, bucket = np.concatenate(row), np.concatenate(bucket)
-        toxic = y[row] > 0
-        p, q = (np.bincount(bucket[k], minlength=1 << BITS) for k in (toxic, ~toxic))
-        ratio = np.log((p + 1) / ((y > 0).sum() + 2) * ((y < 0).sum() + 2) / (q + 1))
-        clear = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)) * (np.abs(ratio) >= STRONG)
-        chosen = np.argsort(-clear, kind="stable")[:SELECTED]
-        chosen = chosen[clear[chosen] >= CLEAR]
-        column = np.full(1 << BITS, -1)
-        column[chosen] = np.arange(len(chosen))
-        keep = column[bucket] >= 0
-        row, col = row[keep], column[bucket[keep]]
-        value = ratio[chosen][col]
-        at = np.searchsorted(row, np.arange(len(y) + 1))
-        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
-        w, b = np.zeros(len(chosen)), 0.0
-        ahead, shift, t = w, b, 1.0
-        top = (row_sums(value * value, at) * weight).sum()
-        step = 1 / (0.25 * (top + 1) + l2)
-        for _ in range(rounds):
-            slope = -y / (1 + np.exp(np.clip(y * (row_sums(value * ahead[col], at) + shift), -30, 30))) * weight
-            new = ahead - step * (np.bincount(col, value * slope[row], len(w)) + l2 * ahead)
-            level = shift - step * slope.sum()
-            t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-            ahead, shift = new + (last - 1) / t * (new - w), level + (last - 1) / t * (level - b)
-            w, b = new, level
-        weights[chosen] = w * ratio[chosen]
-        return Model(weights, float(b + np.log(odds)))
+        own, shift = _fitted(row, bucket, y, l2, rounds)
+        slope, level = _calibration(row, bucket, y, odds, l2, rounds)
+        weights[: len(own)] = slope * own
+        return Model(weights, float(slope * (shift + np.log(odds)) + level))
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         wanted = self.weights != 0
@@ -117,6 +98,74 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _fitted(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of buckets and the bias, at even odds, from rows of -1 and 1 that hold buckets; row ascends."""
+    toxic = y[row] > 0
+    p, q = (np.bincount(bucket[k], minlength=1 << BITS) for k in (toxic, ~toxic))
+    ratio = np.log((p + 1) / ((y > 0).sum() + 2) * ((y < 0).sum() + 2) / (q + 1))
+    clear = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)) * (np.abs(ratio) >= STRONG)
+    chosen = np.argsort(-clear, kind="stable")[:SELECTED]
+    chosen = chosen[clear[chosen] >= CLEAR]
+    column = np.full(1 << BITS, -1)
+    column[chosen] = np.arange(len(chosen))
+    keep = column[bucket] >= 0
+    row, col = row[keep], column[bucket[keep]]
+    value = ratio[chosen][col]
+    at = np.searchsorted(row, np.arange(len(y) + 1))
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    w, b = np.zeros(len(chosen)), 0.0
+    ahead, shift, t = w, b, 1.0
+    top = (row_sums(value * value, at) * weight).sum()
+    step = 1 / (0.25 * (top + 1) + l2)
+    for _ in range(rounds):
+        slope = -y / (1 + np.exp(np.clip(y * (row_sums(value * ahead[col], at) + shift), -30, 30))) * weight
+        new = ahead - step * (np.bincount(col, value * slope[row], len(w)) + l2 * ahead)
+        level = shift - step * slope.sum()
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, shift = new + (last - 1) / t * (new - w), level + (last - 1) / t * (level - b)
+        w, b = new, level
+    weights = np.zeros(1 << BITS)
+    weights[chosen] = w * ratio[chosen]
+    return weights, b
+
+
+def _calibration(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, odds: float, l2: float, rounds: int) -> tuple[float, float]:
+    """Slope and level that turn margins into log-odds, by logistic regression on margins of texts that their fit left out.
+
+    The FOLDS parts take texts of each label by turns. Few texts move the slope little from 1 and the level from 0; both
+    stay there if a label has fewer than two texts a part, or if the margins of texts left out tell nothing.
+    """
+    part = np.empty(len(y), np.int64)
+    for kind in (y > 0, y < 0):
+        if kind.sum() < 2 * FOLDS:
+            return 1.0, 0.0
+        part[kind] = np.arange(kind.sum()) % FOLDS
+    z = np.full(len(y), np.log(odds))
+    for k in range(FOLDS):
+        kept, renamed = part != k, np.cumsum(part != k) - 1
+        known = kept[row]
+        w, b = _fitted(renamed[row[known]], bucket[known], y[kept], l2, rounds)
+        z += np.where(kept, 0.0, np.bincount(row, w[bucket] * ~known, len(y)) + b)
+    share = odds / (1 + odds)
+    weight = np.where(y > 0, share / (y > 0).sum(), (1 - share) / (y < 0).sum())
+    x, start = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        return (weight * np.logaddexp(0, -y * (x @ at))).sum() + NEAR * ((at - start) ** 2).sum()
+
+    now = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ now, -40, 40)))
+        slope = x.T @ (weight * (p - (y > 0))) + 2 * NEAR * (now - start)
+        move, size = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 2 * NEAR * np.eye(2), slope), 1.0
+        while size > 1e-6 and loss(now - size * move) > loss(now):
+            size /= 2
+        now = now - size * move
+        if np.abs(size * move).max() < 1e-7:
+            break
+    return (float(now[0]), float(now[1])) if now[0] > 0 else (1.0, 0.0)
+
+
 def label_odds(labels: DataFrame, label: str, learnable: Column) -> float:
     """Labels 1 for each label 0 among those to learn from; 1 if either is missing."""
     n = labels.filter(learnable).agg(F.count_if(F.col(label) == 1).alias("one"), F.count_if(F.col(label) == 0).alias("zero")).first()

@@ -312,6 +312,22 @@ def test_naive_bayes_scores_equal_brute_force():
         assert abs(model.score(raw, np.array([0, len(raw)]))[0] - 1 / (1 + np.exp(-z))) < 1e-6
 
 
+def test_toxicity_scores_are_calibrated_on_texts_left_out():
+    rng = random.Random(11)
+    toxic = [i % 4 == 0 for i in range(900)]
+    texts = [words(rng, 40, 60) + (" nasty" if (bad and rng.random() < 0.8) or rng.random() < 0.02 else "") for bad in toxic]
+    labels = [int(bad if rng.random() > 0.05 else not bad) for bad in toxic]  # some labels are wrong
+    model = toxicity.Model.fit(texts[:600], labels[:600], sum(labels[:600]) / (600 - sum(labels[:600])))
+    raw = [t.encode() for t in texts[600:]]
+    p = model.score(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    held, sure = np.array(labels[600:]), p >= toxicity.THRESHOLD
+    assert abs(p.mean() - held.mean()) < 0.06 and abs(p[sure].mean() - held[sure].mean()) < 0.15
+    has = np.array([t.endswith("nasty") for t in texts[600:]])
+    assert (sure == has).mean() > 0.97
+    few = toxicity.Model.fit(texts[:8], [1, 0, 0, 0, 1, 0, 0, 0])  # too few to leave any out
+    assert np.isfinite(few.weights).all() and np.isfinite(few.bias)
+
+
 def test_long_texts_are_classified_in_parts():
     rng = random.Random(5)
     long = "é" + words(rng, 600_000, 5000) + " nasty thing ü"
